@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.checkpoints import cut
-from textloom.llm import byte_bpe, chunking, encoding_repair, lookalike, sentences
+from textloom.llm import byte_bpe, chunking, encoding_repair, language_id, lookalike, sentences, structure
 from textloom.tables import table
 
 
+def _blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Text blocks, exact duplicate rows once."""
+    return table(spark, root, "text_blocks").where("block_id is not null").dropDuplicates(["block_id"])
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and blocks that are lists, tables or junk."""
+    docs = structure.kinds(table(spark, root, "documents"), "doc_id", article=True)
+    blocks = structure.kinds(table(spark, root, "text_blocks"), "block_id")
+    both = docs.select(F.lit("documents").alias("origin"), "*").unionByName(blocks.select(F.lit("text_blocks").alias("origin"), "*"))
+    return both.where(F.col("kind").isin("list", "table", "junk") & F.col("item_id").isNotNull()).distinct()
+
+
+def p1_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """Statistics of every document and block."""
+    docs = structure.text_statistics(table(spark, root, "documents"), "doc_id", article=True)
+    blocks = structure.text_statistics(_blocks(spark, root), "block_id")
+    return docs.select(F.lit("documents").alias("origin"), "*").unionByName(blocks.select(F.lit("text_blocks").alias("origin"), "*"))
+
+
+def p1_filter_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Blocks of each request, and how many of them are filtered for being no prose."""
+    blocks = _blocks(spark, root).select("block_id", "request_id")
+    kinds = structure.kinds(table(spark, root, "text_blocks"), "block_id").dropDuplicates(["item_id"]).withColumnRenamed("item_id", "block_id")
+    filtered = F.col("kind").isNull() | (F.col("kind") != "prose")
+    return blocks.join(kinds, "block_id").groupBy("request_id").agg(
+        F.count("*").alias("total_paragraphs"), F.count_if(~filtered).alias("body_count"), F.count_if(filtered).alias("filtered_count")
+    )
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Sentence starts of the requests that the old splitter's table holds."""
     asked = table(spark, root, "sentence_results").select("request_id").distinct()
@@ -33,6 +63,24 @@ def p3_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.canonical(table(spark, root, "detect_requests")).select("request_id", "strict_id", "loose_id")
 
 
+def p4_languages(spark: SparkSession, root: str) -> DataFrame:
+    """Language and confidence of every request and document, and of each stretch of mixed requests."""
+    asked = sentences.one_row(table(spark, root, "detect_requests").select("request_id", "language", "text")).select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
+    docs = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
+    model = language_id.fit(language_id.sample(asked, "label"))
+    pairs = encoding_repair.fit_pairs(asked)
+    of_requests = language_id.request_languages(asked, model, pairs)
+    of_docs = language_id.document_languages(docs, model)
+    return of_docs.select(F.lit("documents").alias("origin"), "*").unionByName(of_requests.select(F.lit("detect_requests").alias("origin"), "*"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Main language of items whose label is missing or wrong, and the stretches of mixed requests."""
+    rows = p4_languages(spark, root).where("lang is not null")
+    named = language_id.label_of(F.col("label"))
+    return rows.where((F.col("segment") > 0) | named.isNull() | (named != F.col("lang"))).select("origin", "item_id", "segment", "lang")
+
+
 def _p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return chunking.split_blocks(table(spark, root, "text_blocks"), table(spark, root, "detect_requests"))
 
@@ -73,7 +121,7 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_sentences, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_repaired, p7_ids]
+    named = [p1_found, p1_statistics, p1_filter_summary, p2_found, p2_sentences, p3_found, p3_canonical, p4_found, p4_languages, p5_found, p5_pieces, p6_found, p6_repaired, p7_ids]
     return {f.__name__: f for f in named}
 
 
