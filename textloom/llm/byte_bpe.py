@@ -201,15 +201,16 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 def encode_corpus(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    ranks_path: str | None = None, words_kept: int = 400_000,
+    ranks_path: str | None = None, words_kept: int = 400_000, also: list[str] | None = None,
 ) -> DataFrame:
-    """Token ids of every row: ``id_column``, ``ids``.
+    """Token ids of every row: ``id_column``, the columns named in ``also``, ``ids``.
 
     Empty and null texts get an empty list; a null id is kept.  Repeated rows
     are encoded once each, other columns are dropped.  ``words_kept`` bounds a
     worker's memory only: the word table is emptied when it is full.
     """
     path = ranks_path or vocabulary_path()
+    more = also or []
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +223,10 @@ def encode_corpus(
                 np.cumsum([len(r) for r in rows], out=ends[1:])
                 flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=ends[-1])
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+                kept = [part.column(i) for i in (0, *range(2, part.num_columns))]
+                yield pa.RecordBatch.from_arrays([*kept, ids], names=["key", *more, "ids"])
                 tokens.trim(words_kept)
 
-    chosen = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", id_column)
+    chosen = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), *more)
+    others = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in more)
+    return chosen.mapInArrow(run, f"key {kind}, {others}ids array<int>").withColumnRenamed("key", id_column)

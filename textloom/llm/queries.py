@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.checkpoints import cut
-from textloom.llm import byte_bpe, chunking, encoding_repair, language_id, lookalike, sentences, structure
+from textloom.llm import byte_bpe, chunking, encoding_repair, language_id, lookalike, mixture, sentences, structure, subjects
 from textloom.tables import table
 
 
@@ -120,8 +120,44 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, root, "documents").select("doc_id", "text"))
 
 
+def _p8(spark: SparkSession, root: str) -> tuple[DataFrame, list[tuple]]:
+    sized = cut(mixture.sizes(table(spark, root, "documents")))
+    return sized, mixture.plan(sized, table(spark, root, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The mixture: each document used, and how many times."""
+    sized, planned = _p8(spark, root)
+    return mixture.mix(spark, sized, planned)
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The share of each source in the mixture, as wanted and as reached."""
+    sized, planned = _p8(spark, root)
+    return mixture.shares(spark, mixture.mix(spark, sized, planned), planned)
+
+
+def p9_subjects(spark: SparkSession, root: str) -> DataFrame:
+    """Subjects of every document, with their shares and probabilities."""
+    docs = table(spark, root, "documents")
+    rows, names = subjects.sample(docs, table(spark, root, "subject_labels"), table(spark, root, "subject_catalog"))
+    return subjects.subjects_of(docs, subjects.fit(rows, names))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Subjects of every document."""
+    return p9_subjects(spark, root).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, root: str) -> DataFrame:
+    """The corpus by subject: documents, and characters shared out by the subjects' shares."""
+    found = p9_subjects(spark, root)
+    sizes = table(spark, root, "documents").select("doc_id", F.length("text").alias("chars"))
+    return found.join(sizes, "doc_id").groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(F.col("chars") * F.col("share"))).cast("bigint").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_statistics, p1_filter_summary, p2_found, p2_sentences, p3_found, p3_canonical, p4_found, p4_languages, p5_found, p5_pieces, p6_found, p6_repaired, p7_ids]
+    named = [p1_found, p1_statistics, p1_filter_summary, p2_found, p2_sentences, p3_found, p3_canonical, p4_found, p4_languages, p5_found, p5_pieces, p6_found, p6_repaired, p7_ids, p8_mix, p8_shares, p9_found, p9_subjects, p9_composition]
     return {f.__name__: f for f in named}
 
 
