@@ -6,9 +6,10 @@ its source and its structure.  One calibrated logistic model per subject, each
 with the decisions before it as further features, models which subjects occur
 together; a beam search decodes the likeliest combination.
 
-The fit takes a bounded sample of labelled documents.  Wrong labels and missing
-second ones are smoothed over by relearning the terms from the shares of the
-round before.
+The fit takes a bounded sample of labelled documents.  Hand labels can be wrong
+and second subjects missing, so terms are relearnt from the shares of the round
+before, and a label that the shares clearly contradict is corrected: a subject
+is one that about a third of the document is about.
 """
 
 from __future__ import annotations
@@ -112,7 +113,11 @@ class Model(NamedTuple):
         return min(1 - 1e-6, max(1e-6, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 25) -> np.ndarray:
+#: A share of subject terms from which a document surely has the subject, and one below which it surely hasn't.
+SURELY, HARDLY = 0.27, 0.18
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> np.ndarray:
     """Weights of a ridge logistic regression, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -170,6 +175,8 @@ def fit(rows: list[tuple], subjects: list[str], rounds: int = 4, seen_in: int =
         v[-len(STRUCTURE) :] = shape
         x.append(v)
     x = np.array(x) if x else np.zeros((0, 1))
+    if m:
+        labels = np.where(x[:, :n] >= SURELY, 1.0, np.where(x[:, :n] < HARDLY, 0.0, labels))
     even = np.arange(m) % 2 == 0
     for k in range(n):
         inputs = np.concatenate((x, labels[:, :k]), axis=1)
