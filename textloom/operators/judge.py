@@ -1,0 +1,111 @@
+"""Fusing outside judgments into local scores.
+
+Judgments come in as a table (``doc_id, chunk_id, response_json``); nothing here
+calls a network.  A response that can't be parsed counts as no judgment.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from textloom.operators.score import logistic
+
+RESPONSE = "probability double, confidence double, uncertainty double, signals array<struct<id:string,score:double,evidence:string>>, reasoning string"
+#: Weight of each kind of evidence, and how much academic writing takes from it (fixed values).
+EVIDENCE = {
+    "template_like": (1.0, 0.60), "uniform_structure": (0.9, 0.60), "low_specificity": (0.8, 0.25), "high_repetition": (0.9, 0.40),
+    "weak_human_trace": (0.7, 0.65), "logical_leaps": (0.7, 0.0), "human_detail": (1.0, 0.0), "stylistic_variance": (0.7, 0.0),
+}
+CONTENT, HUMAN = ["low_specificity", "logical_leaps"], ["human_detail", "stylistic_variance"]
+STRUCTURAL = ["template_like", "uniform_structure", "high_repetition", "weak_human_trace"]
+
+
+def json_of(response: Column) -> Column:
+    """From the first opening brace to the last closing one; the trimmed text where there is none."""
+    found = F.regexp_extract(response, r"(?s)\{.*\}", 0)
+    return F.when(found == "", F.trim(response)).otherwise(found)
+
+
+def judged(judgments: DataFrame) -> DataFrame:
+    """``doc_id, chunk_id, llm_probability, llm_confidence, llm_uncertainty, evidence``: parsed responses, one a segment (the least text)."""
+    parsed = judgments.groupBy("doc_id", "chunk_id").agg(F.min("response_json").alias("r")).withColumn("j", F.from_json(json_of(F.col("r")), RESPONSE))
+    return parsed.where("j.probability is not null or j.confidence is not null or j.signals is not null").select(
+        "doc_id", "chunk_id", F.coalesce("j.probability", F.lit(0.0)).alias("llm_probability"), F.coalesce("j.confidence", F.lit(0.6)).alias("llm_confidence"),
+        F.col("j.uncertainty").alias("llm_uncertainty"), evidence(F.coalesce("j.signals", F.expr("cast(array() as array<struct<id:string,score:double,evidence:string>>)"))).alias("evidence"),
+    )
+
+
+def evidence(signals: Column, academic: float = 0.0) -> Column:
+    """Signals of known kinds, scores within 1 either way, with weights; strongest first."""
+    weights = F.create_map(*[F.lit(x) for k, (w, a) in EVIDENCE.items() for x in (k, w * (1 - a * academic))])
+    clean = F.transform(signals, lambda s: F.struct(F.lower(F.trim(s["id"])).alias("id"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(s["score"], F.lit(0.0)))).alias("score"), s["evidence"].alias("evidence")))
+    known = F.filter(clean, lambda s: s["id"].isin(list(EVIDENCE)))
+    weighed = F.transform(known, lambda s: F.struct((-F.abs(s["score"])).alias("order"), s["id"].alias("id"), s["score"].alias("score"), weights[s["id"]].alias("weight"), s["evidence"].alias("evidence")))
+    return F.array_sort(weighed)
+
+
+def strength(items: Column, names: list[str], sign: int = 1) -> Column:
+    """The strongest score among evidence of these kinds, 0 at least."""
+    return F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(F.filter(items, lambda s: s["id"].isin(names)), lambda s: s["score"] * sign)), F.lit(0.0)))
+
+
+def fused(segments: DataFrame, judgments: DataFrame, academic: float = 0.0) -> DataFrame:
+    """``segments`` with judgments worked into ``raw_probability, confidence, uncertainty`` and the evidence strengths.
+
+    Segments without a judgment keep their local scores.
+    """
+    rows = segments.drop("content_strength", "human_strength", "structural_strength").join(judged(judgments), ["doc_id", "chunk_id"], "left")
+    has, ev = F.col("llm_probability").isNotNull(), F.col("evidence")
+    some = has & (F.size(ev) > 0)
+    total = F.aggregate(ev, F.lit(0.0), lambda a, s: a + s["weight"] * s["score"])
+    rows = rows.withColumns({
+        "content_strength": F.when(some, strength(ev, CONTENT)).otherwise(0.0), "human_strength": F.when(some, strength(ev, HUMAN, -1)).otherwise(0.0),
+        "structural_strength": F.when(some, strength(ev, STRUCTURAL)).otherwise(0.0), "_e": F.when(some, logistic(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), total)))),
+    })
+    llm, e = F.col("llm_probability"), F.col("_e")
+    mix = 0.20 + 0.40 * F.abs(llm - e)
+    sure = F.col("llm_confidence") * (1 - F.coalesce("llm_uncertainty", F.lit(0.0)))
+    rows = rows.withColumns({"_a": F.when(e.isNotNull(), llm * (1 - mix) + e * mix).otherwise(llm), "_c": F.when(e.isNotNull(), sure * (0.6 + 0.4 * (1 - F.abs(llm - e)))).otherwise(sure)})
+    local, size = F.col("raw_probability"), F.least(F.length("text") / 1200, F.lit(1.0))
+    boost = F.when((F.col("structural_strength") > 0.45) & (F.col("content_strength") < 0.2), 0.12 * academic).otherwise(0.0)
+    conflict = F.greatest(F.abs(F.col("_a") - local), F.coalesce(0.8 * F.abs(F.col("_a") - e), F.lit(0.0)))
+    rows = rows.withColumns({"_k": conflict, "_w": F.greatest(F.lit(0.15), F.least(F.lit(0.62), 0.27 + 0.45 * F.col("_c") + 0.15 * size - 0.75 * conflict))})
+    p = F.col("_w") * F.col("_a") + (1 - F.col("_w")) * local
+    confidence = (0.55 * F.col("_c") + 0.45 * F.col("confidence")) * (1 - 0.35 * F.col("_k"))
+    doubt = F.coalesce("llm_uncertainty", 1 - F.col("_c")) + F.coalesce(0.35 * F.abs(F.col("_a") - e), F.lit(0.0))
+    doubt = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(e.isNull(), F.greatest(doubt, F.lit(0.5))).otherwise(doubt) + boost))
+    return rows.withColumns({
+        "fused_probability": F.when(has, F.greatest(F.lit(0.02), F.least(F.lit(0.98), p))).otherwise(local),
+        "fused_confidence": F.when(has, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).otherwise(F.col("confidence")),
+        "fused_uncertainty": F.when(has, doubt).otherwise(F.col("uncertainty")),
+    }).drop("_e", "_a", "_c", "_k", "_w")
+
+
+def adaptively_fused(segments: DataFrame) -> DataFrame:
+    """``segments`` (with ``llm_probability``) and ``fused_probability``, weighted by whose probabilities vary more in the document.
+
+    Constant judgments of a document are rejected.
+    """
+    part = W.partitionBy("doc_id")
+    spread_llm, spread_local = F.var_pop("llm_probability").over(part), F.var_pop("raw_probability").over(part)
+    w = F.greatest(F.lit(0.20), F.least(F.lit(0.55), 0.30 + 0.25 * spread_llm / F.greatest(spread_llm + spread_local, F.lit(1e-9))))
+    good = F.col("llm_probability").isNotNull() & (spread_llm >= 1e-4)
+    return segments.withColumn("fused_probability", F.when(good, w * F.col("llm_probability") + (1 - w) * F.col("raw_probability")).otherwise(F.col("raw_probability")))
+
+
+def answer_text(response: Column) -> Column:
+    """The answer in a provider's JSON: output text, else the first choice's message."""
+    return F.coalesce(F.get_json_object(response, "$.output[0].content[0].text"), F.get_json_object(response, "$.choices[0].message.content"), F.get_json_object(response, "$.content[0].text"))
+
+
+def merge_answer(response: Column, allowed: Column) -> Column:
+    """The boundaries a refiner wants merged, of those it was asked about."""
+    wanted = F.from_json(json_of(response), "mergeIndices array<int>")["mergeIndices"]
+    return F.array_sort(F.array_intersect(F.coalesce(wanted, F.expr("cast(array() as array<int>)")), allowed))
+
+
+def prompt(segments: DataFrame) -> DataFrame:
+    """``segments`` with the prompt a judge gets: the text between its neighbours (``previous_text``, ``next_text``)."""
+    return segments.withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Before: "), F.coalesce("previous_text", F.lit(""))), F.concat(F.lit("Text: "), F.col("text")), F.concat(F.lit("After: "), F.coalesce("next_text", F.lit("")))))
+
+
