@@ -87,7 +87,7 @@ def perplexity(blocks: DataFrame) -> DataFrame:
     scaled = 20 + F.least((F.exp(entropy(F.col("token_counts"))) - 1) * 22.5, F.lit(280.0))
     base = 120 - 60 * F.size("token_counts") / n + F.length("text") / 500
     value = F.greatest(F.lit(20.0), F.least(F.lit(300.0), (scaled + base) / 2))
-    return blocks.withColumn("ppl", F.when(n > 0, F.floor(value * 100 + 0.5) / 100).otherwise(F.lit(120.0)))
+    return blocks.withColumn("ppl", F.when(n > 0, F.floor(value * 100 + 0.5 + 1e-7) / 100).otherwise(F.lit(120.0)))
 
 
 def readability(blocks: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def sensitivity_sweep(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_SENT_SEG = f"{sql.sentences('docs', 'doc_id')}, {sql.PACK}, {sql.features('packed', 'doc_id, block_index', 'sf')}, sf_l as (select f.*, b.start, b.end_offset, l.cjk from sf f join packed b using (doc_id, block_index) join lang l using (doc_id)), {sql.scored('sf_l', 'sseg')}"
+_SENT_SEG = f"{sql.sentences('docs', 'doc_id')}, {sql.PACK}, {sql.features('packed', 'doc_id, block_index', 'sf')}, sseg_in as (select f.*, b.start, b.end_offset, l.cjk from sf f join packed b using (doc_id, block_index) join lang l using (doc_id)), {sql.scored('sseg_in', 'sseg')}"
 _DUAL = f"with recursive {_SEGMENTS[5:]}, {_SENT_SEG}, {sql.aggregated('seg', 'pa')}, {sql.aggregated('sseg', 'sa')}, " """
 crossed as (select a.doc_id, a.block_index as pid, b.block_index as sid, a.p as pp, b.p as sp, greatest(a.start, b.start) as f, least(a.end_offset, b.end_offset) - greatest(a.start, b.start) as o, a.end_offset - a.start as al, b.end_offset - b.start as bl
   from seg a join sseg b on a.doc_id = b.doc_id and a.start < b.end_offset and b.start < a.end_offset),

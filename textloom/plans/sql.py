@@ -66,7 +66,7 @@ def features(source: str, keys: str, name: str = "feat") -> str:
     coalesce(g.v / g.n, 0) as ttr, case when g.n is null then 0 else coalesce(l.m, length(t.text)) end as avg_sentence_len, coalesce(g.fw / g.n, 0) as function_word_ratio,
     case when g.n is null then 0 else len(regexp_extract_all(t.text, '[，。！？.!?]')) / length(t.text) end as punctuation_ratio, coalesce(g.r / g.v, 0) as repeat_ratio,
     case when coalesce(g.n, 0) < 4 then 0 else 1 - len(list_distinct(list_transform(range(1, g.n - 1), lambda i: toks[i] || chr(1) || toks[i + 1] || chr(1) || toks[i + 2]))) / (g.n - 2) end as ngram_repeat_rate,
-    case when g.n is null then 120 else floor(greatest(20, least(300, (20 + least((exp(g.h) - 1) * 22.5, 280) + 120 - 60 * g.v / g.n + length(t.text) / 500) / 2)) * 100 + 0.5) / 100 end as ppl
+    case when g.n is null then 120 else floor(greatest(20, least(300, (20 + least((exp(g.h) - 1) * 22.5, 280) + 120 - 60 * g.v / g.n + length(t.text) / 500) / 2)) * 100 + 0.5 + 1e-7) / 100 end as ppl
   from {name}_t t left join {name}_g g using ({keys}) left join {name}_l l using ({keys})
 )"""
 
