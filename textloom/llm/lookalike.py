@@ -17,6 +17,8 @@ from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from textloom.checkpoints import cut
+
 #: Letters of other scripts that are drawn like Latin ones (fixed values).
 LOOKALIKE = {
     "аАеЕоОрРсСхХуіІјЈѕЅһԁԛԝВНКМТԌ": "aAeEoOpPcCxXyiIjJsShdqwBHKMTG",
@@ -102,7 +104,7 @@ def hashed(requests: DataFrame) -> DataFrame:
 
 def candidates(requests: DataFrame) -> DataFrame:
     """Rows of ``hashed`` whose outline has several spellings."""
-    rows = hashed(requests)
+    rows = cut(hashed(requests))  # a few numbers a request, asked for again and again below
     several = rows.groupBy("outline").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("outline")
     return rows.join(several, "outline", "left_semi")
 
@@ -114,7 +116,7 @@ def canonical(requests: DataFrame) -> DataFrame:
     their punctuation as it is, ``loose_id`` among those that do once quotation
     marks and dashes are plain.  Texts without any possible partner have no row.
     """
-    member = candidates(requests)
+    member = cut(candidates(requests))
     texts = (
         requests.where(F.col("request_id").isNotNull()).select("request_id", "text")
         .join(member, "request_id")
