@@ -134,6 +134,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40
 def fit(rows: list[tuple], subjects: list[str], rounds: int = 4, seen_in: int = 4) -> Model:
     """A model from (subjects of a document, its term counts, text shape features, source) rows; see ``sample``."""
     n, m = len(subjects), len(rows)
+    if not rows or not subjects:
+        return Model(subjects, {}, [], [], [])
     place = {s: k for k, s in enumerate(subjects)}
     labels = np.zeros((m, n))
     for i, (named, *_) in enumerate(rows):
