@@ -65,11 +65,12 @@ def p3_canonical(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_languages(spark: SparkSession, root: str) -> DataFrame:
     """Language and confidence of every request and document, and of each stretch of mixed requests."""
-    asked = sentences.one_row(table(spark, root, "detect_requests").select("request_id", "language", "text")).select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
+    asked = table(spark, root, "detect_requests").where("request_id is not null").select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
     docs = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
     model = language_id.fit(language_id.sample(asked, "label"))
     pairs = encoding_repair.fit_pairs(asked)
-    of_requests = language_id.request_languages(asked, model, pairs)
+    # rows of one request carry one text: its results, not its texts, are shuffled to count it once
+    of_requests = language_id.request_languages(asked, model, pairs).dropDuplicates(["item_id", "segment"])
     of_docs = language_id.document_languages(docs, model)
     return of_docs.select(F.lit("documents").alias("origin"), "*").unionByName(of_requests.select(F.lit("detect_requests").alias("origin"), "*"))
 
