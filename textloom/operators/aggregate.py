@@ -151,17 +151,22 @@ def nearest_rank(values: Column, share: float = 0.95) -> Column:
 def batch_summary(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``count, fail_count, average, p95`` of a batch's ``probability``, a null one being a failure.
 
-    The exact 95th value is found by rank from counts of distinct values, so no
-    batch is gathered in one place.
+    The exact 95th value is found in two steps: counts by thousandths say in which
+    of them it lies, and only that one's distinct values are ranked.
     """
-    good = items.where("probability is not null")
-    counts = items.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if(F.col("probability").isNull()).alias("fail_count"), F.avg("probability").alias("average"))
-    values = good.groupBy(*keys, "probability").agg(F.count("*").alias("c"))
-    order = W.partitionBy(*keys).orderBy("probability") if keys else W.orderBy("probability")
-    ranked = values.withColumns({"upto": F.sum("c").over(order), "total": F.sum("c").over(W.partitionBy(*keys) if keys else W.partitionBy())})
+    named = items.withColumn("_all", F.lit(1))
+    by = ["_all", *keys]
+    counts = named.groupBy(*by).agg(F.count("*").alias("count"), F.count_if(F.col("probability").isNull()).alias("fail_count"), F.avg("probability").alias("average"))
+    values = named.where("probability is not null").groupBy(*by, "probability").agg(F.count("*").alias("c")).withColumn("cell", F.floor(F.col("probability") * 1000))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    part = W.partitionBy(*by)
+    cells = values.groupBy(*by, "cell").agg(F.sum("c").alias("n")).withColumns({"upto": F.sum("n").over(part.orderBy("cell")), "total": F.sum("n").over(part)})
     place = F.bround(0.95 * (F.col("total") - 1)).cast("bigint")
-    p95 = ranked.where((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(*keys, F.col("probability").alias("p95"))
-    return counts.join(p95, list(keys), "left") if keys else counts.crossJoin(p95) if not keys else counts
+    home = cells.where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(*by, "cell", (place - (F.col("upto") - F.col("n"))).alias("place"))
+    inside = values.alias("a").join(F.broadcast(home).alias("b"), [*same, F.col("a.cell") == F.col("b.cell")]).select("a.*", "b.place")
+    ranked = inside.withColumn("upto", F.sum("c").over(part.orderBy("probability")))
+    p95 = ranked.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(*by, F.col("probability").alias("p95"))
+    return counts.alias("a").join(F.broadcast(p95).alias("b"), same, "left").select("a.*", "b.p95").drop("_all")
 
 
 def multi_round(docs: DataFrame, rounds: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Readers of the engine's named Parquet tables, with declared schemas where columns are optional."""
+"""Readers of the engine's named Parquet tables."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,3 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` under ``root``; one Parquet file or a folder of them."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores, by ``key``, where their files are fewer than the cores; else as they are read.
+
+    A file of one row group is one task, so a small table would hold up work on
+    its texts; a large one has files enough and isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows._jdf.inputFiles()) < cores else rows
