@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.checkpoints import cut
 from textloom.llm import byte_bpe, chunking, encoding_repair, language_id, lookalike, mixture, sentences, structure, subjects
-from textloom.tables import table
+from textloom.tables import spread, table
+
+
+def _texts(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+    """The named columns and ``text`` of a table, over all cores; the first column is its key."""
+    return spread(table(spark, root, name).select(*columns, "text"), columns[0])
 
 
 def _blocks(spark: SparkSession, root: str) -> DataFrame:
@@ -18,15 +23,15 @@ def _blocks(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents and blocks that are lists, tables or junk."""
-    docs = structure.kinds(table(spark, root, "documents"), "doc_id", article=True)
-    blocks = structure.kinds(table(spark, root, "text_blocks"), "block_id")
+    docs = structure.kinds(_texts(spark, root, "documents", "doc_id"), "doc_id", article=True)
+    blocks = structure.kinds(_texts(spark, root, "text_blocks", "block_id"), "block_id")
     both = docs.select(F.lit("documents").alias("origin"), "*").unionByName(blocks.select(F.lit("text_blocks").alias("origin"), "*"))
     return both.where(F.col("kind").isin("list", "table", "junk") & F.col("item_id").isNotNull()).distinct()
 
 
 def p1_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Statistics of every document and block."""
-    docs = structure.text_statistics(table(spark, root, "documents"), "doc_id", article=True)
+    docs = structure.text_statistics(_texts(spark, root, "documents", "doc_id"), "doc_id", article=True)
     blocks = structure.text_statistics(_blocks(spark, root), "block_id")
     return docs.select(F.lit("documents").alias("origin"), "*").unionByName(blocks.select(F.lit("text_blocks").alias("origin"), "*"))
 
@@ -65,8 +70,8 @@ def p3_canonical(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_languages(spark: SparkSession, root: str) -> DataFrame:
     """Language and confidence of every request and document, and of each stretch of mixed requests."""
-    asked = table(spark, root, "detect_requests").where("request_id is not null").select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
-    docs = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
+    asked = _texts(spark, root, "detect_requests", "request_id", "language").where("request_id is not null").select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
+    docs = _texts(spark, root, "documents", "doc_id", "lang").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
     model = language_id.fit(language_id.sample(asked, "label"))
     pairs = encoding_repair.fit_pairs(asked)
     # rows of one request carry one text: its results, not its texts, are shuffled to count it once
@@ -118,11 +123,11 @@ def p6_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
-    return byte_bpe.encode_corpus(table(spark, root, "documents").select("doc_id", "text"))
+    return byte_bpe.encode_corpus(_texts(spark, root, "documents", "doc_id"))
 
 
 def _p8(spark: SparkSession, root: str) -> tuple[DataFrame, list[tuple]]:
-    sized = cut(mixture.sizes(table(spark, root, "documents")))
+    sized = cut(mixture.sizes(_texts(spark, root, "documents", "doc_id", "source")))
     return sized, mixture.plan(sized, table(spark, root, "source_targets"))
 
 
@@ -142,7 +147,7 @@ def p9_subjects(spark: SparkSession, root: str) -> DataFrame:
     """Subjects of every document, with their shares and probabilities."""
     docs = table(spark, root, "documents")
     rows, names = subjects.sample(docs, table(spark, root, "subject_labels"), table(spark, root, "subject_catalog"))
-    return subjects.subjects_of(docs, subjects.fit(rows, names))
+    return subjects.subjects_of(_texts(spark, root, "documents", "doc_id", "title", "source"), subjects.fit(rows, names))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
