@@ -163,10 +163,10 @@ def batch_summary(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     cells = values.groupBy(*by, "cell").agg(F.sum("c").alias("n")).withColumns({"upto": F.sum("n").over(part.orderBy("cell")), "total": F.sum("n").over(part)})
     place = F.bround(0.95 * (F.col("total") - 1)).cast("bigint")
     home = cells.where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(*by, "cell", (place - (F.col("upto") - F.col("n"))).alias("place"))
-    inside = values.alias("a").join(F.broadcast(home).alias("b"), [*same, F.col("a.cell") == F.col("b.cell")]).select("a.*", "b.place")
+    inside = values.alias("a").join(home.alias("b"), [*same, F.col("a.cell") == F.col("b.cell")]).select("a.*", "b.place")
     ranked = inside.withColumn("upto", F.sum("c").over(part.orderBy("probability")))
     p95 = ranked.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(*by, F.col("probability").alias("p95"))
-    return counts.alias("a").join(F.broadcast(p95).alias("b"), same, "left").select("a.*", "b.p95").drop("_all")
+    return counts.alias("a").join(p95.alias("b"), same, "left").select("a.*", "b.p95").drop("_all")
 
 
 def multi_round(docs: DataFrame, rounds: int = 3) -> DataFrame:
