@@ -1,7 +1,7 @@
 """Statistics of paragraphs and documents, and what they are: prose, list, table or junk (problem 1).
 
-Method: a text is taken apart into runs of lines of one shape.  Each run gets
-basic counts and the Jensen-Shannon divergence of its function-word and
+Method: a text is taken apart into runs of lines of one shape.  Each run,
+whatever its shape, gets basic counts and the Jensen-Shannon divergence of its function-word and
 character-class distributions from the prose profile of the language nearest to
 it, and is assigned the nearest structural profile.  A text is of the kind that
 more than half of its characters belong to, otherwise prose.
@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,7 +38,13 @@ PROFILES: list[tuple[str, tuple[float, ...]]] = [
     ("junk", (0.0, 0.0, 0.0, 0.0, 0.55, 0.1, 0.95)),
     ("junk", (0.0, 0.0, 0.0, 0.0, 0.05, 1.0, 0.80)),
     ("junk", (0.0, 0.0, 0.0, 0.0, 0.03, 0.0, 1.00)),
+    ("list", (1.0, 0.0, 0.0, 0.3, 0.10, 1.0, 0.45)),
+    ("list", (0.0, 0.0, 0.0, 1.0, 0.05, 1.0, 0.45)),
+    ("junk", (1.0, 0.0, 0.0, 0.3, 0.10, 1.0, 0.90)),
+    ("junk", (0.0, 0.0, 0.0, 1.0, 0.05, 1.0, 0.90)),
 ]
+#: Occurrences a cell of function words must be expected to have.
+LEAST_EXPECTED = 5
 WEIGHTS = (2.0, 2.0, 2.0, 1.5, 1.5, 1.5, 2.0)
 
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]+[^\W\d_]*)*")
@@ -99,35 +106,60 @@ class Run(NamedTuple):
     language: str
 
 
-def _function_words(text: str, words: list[str], unspaced: bool) -> tuple[str, float, float]:
-    """(nearest language, divergence from its function-word profile, share of function words)."""
-    best = ("", 1.0, 0.0)
+@lru_cache(maxsize=4096)
+def _cells(language: str, size: int) -> tuple[dict[str, int], list[float], float]:
+    """(cell of each function word, expected share of each cell and of all other words last, divergence of a text without function words).
+
+    Words rarer than five in ``size`` share cells, since their own counts would be chance.
+    """
+    place, shares = {}, [0.0]
+    for w, q in sorted(FUNCTION_WORDS[language].items(), key=lambda x: -x[1]):
+        if shares[-1] * size >= LEAST_EXPECTED:
+            shares.append(0.0)
+        place[w] = len(shares) - 1
+        shares[-1] += q
+    if len(shares) > 1 and shares[-1] * size < LEAST_EXPECTED:
+        last = shares.pop()
+        shares[-1] += last
+        place = {w: min(k, len(shares) - 1) for w, k in place.items()}
+    shares.append(1 - sum(shares))
+    return place, shares, divergence([*[0.0] * (len(shares) - 1), 1.0], shares)
+
+
+def _function_words(text: str, words: list[str], unspaced: bool) -> tuple[str, float, float, float]:
+    """(nearest language, divergence from its function-word profile, share of function words, divergence of a text without any).
+
+    The nearest language is the one of least divergence.  Where no function word
+    occurs there is none, and the divergence is that of the language it is largest for.
+    """
+    n = max(1, sum(not c.isspace() for c in text) if unspaced else len(words))
+    size = 1 << n.bit_length() - 1
+    found: dict[str, Counter] = {}
     if unspaced:
-        n = max(1, sum(not c.isspace() for c in text))
         for language in UNSPACED:
-            profile = FUNCTION_WORDS[language]
-            counts = [text.count(w) / n for w in profile]
-            share = min(1.0, sum(counts))
-            if share:
-                rest = sum(profile.values())
-                d = divergence([*(c * min(1.0, 1 / max(1.0, sum(counts))) for c in counts), 1 - share], [*profile.values(), 1 - rest])
-                if d < best[1]:
-                    best = (language, d, share)
-        return best
-    n = len(words)
-    if not n:
-        return best
-    counts = Counter(w for w in words if w in _LANGUAGES_OF)
-    votes: Counter = Counter()
-    for w, k in counts.items():
-        for language in _LANGUAGES_OF[w]:
-            votes[language] += k
-    for language, hits in votes.most_common(1):
-        profile = FUNCTION_WORDS[language]
-        share = hits / n
-        # among the function words, whether they come in a usual mix; and how many there are at all
-        d = divergence([*(counts[w] / n for w in profile), 1 - share], [*profile.values(), 1 - sum(profile.values())])
-        best = (language, d, share)
+            counts = Counter({w: k for w in FUNCTION_WORDS[language] if (k := text.count(w))})
+            if counts:
+                found[language] = counts
+    else:
+        for w, k in Counter(w for w in words if w in _LANGUAGES_OF).items():
+            for language in _LANGUAGES_OF[w]:
+                found.setdefault(language, Counter())[w] = k
+    if not found:
+        none = max(_cells(language, size)[2] for language in FUNCTION_WORDS if (language in UNSPACED) == unspaced)
+        return "", none, 0.0, none
+    best = ("", 2.0, 0.0, 1.0)
+    for language, counts in found.items():
+        place, shares, none = _cells(language, size)
+        own = [0.0] * len(shares)
+        for w, k in counts.items():
+            own[place[w]] += k / n
+        share = sum(own)
+        if share > 1.0:
+            own = [x / share for x in own]
+        own[-1] = max(0.0, 1.0 - share)
+        d = divergence(own, shares)
+        if d < best[1]:
+            best = (language, d, min(1.0, share), none)
     return best
 
 
@@ -241,12 +273,10 @@ def _assign(shape: str, lines: list[str]) -> Run:
         if len(text) < 60 and len(lines) < 3 and len(text.split()) < 12 and not _repeated(text) and _symbols(text) < 0.4:
             return Run("heading", chars, 0.0, "")
     unspaced = not text.isascii() and 3 * len(_UNSPACED.findall(text)) > len(text)
-    if shape != "plain":
-        return _nearest(shape, lines, chars, (0.0, 0.0, 0.6), 0.6, "")
     words = [] if unspaced else _WORD.findall(text.lower())
     n = max(1, len(text))
     letters = n - text.count(" ") - text.count("\n") if unspaced else sum(map(len, words))
-    language, d, share = _function_words(text, words, unspaced)
+    language, d, _, none = _function_words(text, words, unspaced)
     marks, digits = len(_PUNCTUATION.findall(text)), len(_DIGITS.findall(text))
     spaces = text.count(" ") + text.count("\n")
     if unspaced:
@@ -255,23 +285,20 @@ def _assign(shape: str, lines: list[str]) -> Run:
     classes = divergence([letters / n, digits / n, spaces / n, marks / n, other / n], list(CLASSES_UNSPACED if unspaced else CLASSES))
     symbols = min(1.0, (other + max(0, marks - 0.12 * n)) / n)
     repetition = _repeated(text)
-    # function words count by how many there are of them; a wrongly decoded text has none, but isn't junk for that
-    unknown = 0.30 + 0.5 * (1.0 - min(1.0, share / (0.12 if unspaced else 0.10))) + min(0.2, classes)
-    if not unspaced and len(words) < 8 and repetition < 0.5 and symbols < 0.3:
-        unknown = min(unknown, 0.45)
-    if repetition < 0.6 and len(text.encode("ascii", "ignore")) < 0.85 * n:
-        unknown, symbols = min(unknown, 0.5), min(symbols, 0.2)
-    return _nearest(shape, lines, chars, (symbols, repetition, unknown), d, language)
+    # a text without function words is as far from prose as can be; prose of that length is well below half of that
+    apart = 0.30 + 0.5 * min(1.0, max(0.0, d / none - 0.3) / 0.5) + min(0.2, classes)
+    if shape == "plain":
+        # a few words say little, and a wrongly decoded text counts as what it was
+        if not unspaced and len(words) < 8 and repetition < 0.5 and symbols < 0.3:
+            apart = min(apart, 0.45)
+        if repetition < 0.6 and len(text.encode("ascii", "ignore")) < 0.85 * n:
+            apart, symbols = min(apart, 0.5), min(symbols, 0.2)
+    point = (float(shape == "marked"), float(shape == "columns"), float(shape == "machine"), float(shape == "short"), symbols, repetition, apart)
+    return Run(_nearest(point), chars, d, language)
 
 
-def _nearest(shape: str, lines: list[str], chars: int, rest: tuple[float, float, float], d: float, language: str) -> Run:
-    symbols, repetition, unknown = rest
-    if shape == "short":
-        # the same line over and over says nothing; different ones are items
-        repetition = 1.0 if len(lines) > 7 and len(set(lines)) < 3 else 0.0
-    point = (float(shape == "marked"), float(shape == "columns"), float(shape == "machine"), float(shape == "short"), symbols, repetition, unknown)
-    kind = min(PROFILES, key=lambda p: sum(w * (a - b) ** 2 for w, a, b in zip(WEIGHTS, point, p[1], strict=True)))[0]
-    return Run(kind, chars, d, language)
+def _nearest(point: tuple[float, ...]) -> str:
+    return min(PROFILES, key=lambda p: sum(w * (a - b) ** 2 for w, a, b in zip(WEIGHTS, point, p[1], strict=True)))[0]
 
 
 def _repeated(text: str) -> float:
@@ -327,7 +354,7 @@ def statistics(text: str | None, article: bool = False) -> tuple:
     lines = [x for x in inside.splitlines() if x.strip()]
     sentences = max(1, len(_SENTENCE.findall(inside)))
     marks = sum(map(inside.count, "，。！？.!?"))
-    plain = [r for r in runs if r.language]
+    measured = [r for r in runs if r.kind != "heading"]
     unspaced = 3 * len(_UNSPACED.findall(inside)) > n
     alnum = sum(map(len, words))
     return (
@@ -335,7 +362,7 @@ def statistics(text: str | None, article: bool = False) -> tuple:
         max(0.0, 1 - (alnum + inside.count(" ") + inside.count("\n") + marks + sum(map(inside.count, "0123456789"))) / n),
         _function_words(inside, words, unspaced)[2], sum(c >= 3 for c in counts.values()) / len(counts) if counts else None,
         sum(bool(_STOP.search(x)) for x in lines) / len(lines) if lines else None,
-        sum(r.divergence * r.chars for r in plain) / sum(r.chars for r in plain) if plain else None, _decide(runs),
+        sum(r.divergence * r.chars for r in measured) / sum(r.chars for r in measured) if measured else None, _decide(runs),
     )
 
 
