@@ -1,10 +1,11 @@
 """Cases that shortcuts of the training-data operators missed."""
 
+import numpy as np
 import pytest
 
 pytest.importorskip("textloom.llm.queries")
 
-from textloom.llm import structure  # noqa: E402
+from textloom.llm import structure, subjects  # noqa: E402
 
 
 # 1
@@ -18,3 +19,11 @@ def test_divergence_of_runs_of_every_shape():
     assert near.language and far.divergence > near.divergence
     # of the same shape and repetition: only the divergence tells them apart
     assert structure.kind_of("- a thing\n" * 30) == "list" and structure.kind_of("- xqz wrtk\n" * 30) == "junk"
+
+
+# 9
+def test_junk_with_many_subject_terms_has_no_subject(spark):
+    model = subjects.Model(["law"], {"home": 0}, [], [np.zeros(len(subjects.STRUCTURE) + 4)], [1.0])
+    texts = ["home next " * 100, "The owner of the home is not in the home, as it was the home of a friend. " * 2]
+    docs = spark.createDataFrame([(i, t, "", None) for i, t in enumerate(texts)], "doc_id bigint, text string, title string, source string")
+    assert [(r.doc_id, r.subject) for r in subjects.subjects_of(docs, model).collect()] == [(1, "law")]

@@ -321,6 +321,19 @@ def kind_of(text: str | None, article: bool = False) -> str | None:
     return _decide([_assign(*run) for run in _runs(_shown(text, article))])
 
 
+def is_junk(text: str, article: bool = False) -> bool:
+    """Whether ``kind_of`` a text is junk; ends once half of the text is known to be something else."""
+    shown = _shown(text, article)
+    rest, runs = len(shown), []
+    for run in _runs(shown):
+        runs.append(_assign(*run))
+        if runs[-1].kind != "junk":
+            rest -= 2 * runs[-1].chars
+            if rest <= 0:
+                return False
+    return _decide(runs) == "junk"
+
+
 def _shown(text: str, article: bool) -> str:
     """What a reader sees of a text: no preamble, comments and characters that don't show."""
     return _HIDDEN.sub("", body(text) if article else text)

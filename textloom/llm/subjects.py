@@ -236,8 +236,10 @@ def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
                 for key, text, title, source in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns), strict=True):
                     if not text or text.isspace():
                         continue
+                    if structure.is_junk(text, article=True):
+                        continue
                     features, n = fitted.features(text, title, source)
-                    if not n or n < 8 and structure.kind_of(text, article=True) in ("junk", None):
+                    if not n:
                         continue
                     rows += [(key, fitted.subjects[k], float(features[k]), p) for k, p in fitted.decode(features)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
