@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.config import EngineConfig
-from textloom.operators import aggregate, chunk, classify, compare, judge, nodes, review, split
+from textloom.operators import aggregate, chunk, classify, compare, judge, nodes, profile, review, score, split
 from textloom.plans import pipeline
 from textloom.sources import files, logs
 from textloom.sources.settings import Settings, clean_key, endpoint
@@ -52,6 +52,7 @@ def test_comparison(spark):
     got = {r.doc_id: (r.probability_diff, r.consistency_score, r.divergent_count) for r in compare.comparison(docs, p, s).collect()}
     assert got == {1: (0.05, 1.0, 0), 2: (0.8, 0.0, 1), 3: (0.0, 1.0, 0)}
     assert compare.divergent(compare.matched(p, s), docs).first().preview == "中" * 33 + "..."
+    assert [r.chunk_id for r in compare.highlighted(p, compare.divergent(compare.matched(p, s), docs)).where("divergent").collect()] == [0]
 
 
 def test_overlaps_count_once_across_bins(spark):
@@ -98,12 +99,65 @@ def test_nodes_and_mapping(spark):
 
 
 def test_judgments(spark):
-    seg = pipeline.segments(pipeline.prepared(spark.createDataFrame([(1, "A text of one sentence."), (2, "Another text."), (3, "And one more.")], "doc_id bigint, text string")))
-    answers = [(1, 0, 'so: {"probability": 0.9, "signals": [{"id": " Template_Like ", "score": 1.7}, {"id": "unknown", "score": 1}]} end'), (2, 0, "no json at all"), (1, 0, "zz")]
+    seg = pipeline.segments(pipeline.prepared(spark.createDataFrame([(i, f"A text of one sentence, number {i}.") for i in range(1, 6)], "doc_id bigint, text string")))
+    answers = [
+        (1, 0, 'so: {"probability": 1.9, "signals": [{"id": " Template_Like ", "score": 1.7, "evidence": "seen"}, {"id": "unknown", "score": 1, "evidence": "seen"}, {"id": "logical_leaps", "score": 1, "evidence": " "}]} end'),
+        (2, 0, "no json at all"), (4, 0, '{"probability": 0.9, "confidence": "high"}'), (5, 0, "{}"),
+    ]
     table = spark.createDataFrame(answers, "doc_id bigint, chunk_id int, response_json string")
-    assert judge.judged(table.where("response_json not like 'zz'")).first().evidence[0].score == 1.0
-    got = {r.doc_id: r for r in judge.fused(seg, table.where("response_json not like 'zz'")).collect()}
-    assert got[1].fused_probability > got[1].raw_probability and got[2].fused_probability == got[2].raw_probability and got[3].fused_confidence == got[3].confidence
+    parsed = {r.doc_id: r for r in judge.judged(table).collect()}
+    assert [(e.id, e.score, e.weight) for e in parsed[1].evidence] == [("template_like", 1.0, 1.0)] and parsed[1].llm_probability == 1.0 and parsed[1].llm_confidence == 0.6
+    assert parsed[2].llm_probability is None and parsed[4].llm_probability is None and parsed[5].llm_probability == 0.0
+    got = {r.doc_id: r for r in judge.fused(seg, table).collect()}
+    assert got[1].fused_probability > got[1].raw_probability and got[2].fused_probability == got[2].raw_probability
+    assert got[2].fused_uncertainty >= 0.5 and got[2].notes == ["llm_failed_local_only"] and got[3].fused_uncertainty == got[3].uncertainty and got[3].notes == []
+    academic = judge.fused(seg, table, 1.0).where("doc_id = 1").first()
+    assert academic.evidence[0].weight == pytest.approx(0.4) and academic.notes == ["academic_structure_uncertainty_boost"]
+
+
+def test_tiers(spark):
+    docs = pipeline.prepared(spark.createDataFrame([(1, "Short one here. " + "A sentence of more than fifty characters, which a judge is asked about. " * 3)], "doc_id bigint, text string"))
+    from textloom.operators import features
+
+    rows = classify.sentence_tiers(split.sentences(docs)).join(docs.select("doc_id", "language"), "doc_id")
+    rows = features.perplexity(features.stylometry(rows)).drop("tokens", "token_counts")
+    table = spark.createDataFrame([(1, 1, '{"probability": 0.9}'), (1, 2, "broken")], "doc_id bigint, chunk_id int, response_json string")
+    got = {r.chunk_id: r for r in judge.judged_tiers(rows, table).collect()}
+    assert [got[i].fused_confidence for i in (0, 2, 3)] == [0.5, 0.4, 0.5] and got[2].fused_uncertainty == 0.6
+    assert [got[i].notes[0] for i in (0, 2, 3)] == ["local_stylometry_only", "retry_exhausted_local_fallback", "no_judge_local_only"] and got[1].notes == []
+
+
+def test_a_judge_that_fails_is_asked_again(spark):
+    def judge_(text):
+        if "bad" in text:
+            raise ValueError(text)
+        return '{"probability": 0.5}'
+
+    rows = spark.createDataFrame([(1, 0, "good"), (1, 1, "bad")], "doc_id bigint, chunk_id int, prompt string")
+    assert {r.chunk_id: r.response_json for r in judge.judge_with(rows, judge_).collect()} == {0: '{"probability": 0.5}', 1: None}
+    assert judge.provider_for("glm:x", {"glm": "k"}) == ("glm", "x") and judge.provider_for("glm", {"openai": "k"}) == ("openai", None) and judge.provider_for(None, {}) is None
+
+
+def test_adaptive_fusion(spark):
+    rows = [(1, 0, 0.9, 0.5), (2, 0, 0.5, 0.4), (2, 1, 0.5, 0.6), (3, 0, 0.1, 0.4), (3, 1, None, 0.9), (3, 2, 0.9, 0.6)]
+    got = {(r.doc_id, r.chunk_id): r.fused_probability for r in judge.adaptively_fused(spark.createDataFrame(rows, "doc_id bigint, chunk_id int, llm_probability double, raw_probability double")).collect()}
+    assert got[1, 0] == pytest.approx(0.3 * 0.9 + 0.7 * 0.5) and got[2, 0] == 0.4 and got[3, 1] == 0.9
+    w = 0.3 + 0.25 * 0.16 / 0.17
+    assert got[3, 0] == pytest.approx(w * 0.1 + (1 - w) * 0.4)
+
+
+def test_first_balanced_object(spark):
+    cases = {' {"a":"}"} {"b":1}': '{"a":"}"}', '{"a":{"b":"\\"}"}}x': '{"a":{"b":"\\"}"}}', "x{}": None, "{": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", judge.first_json(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+
+
+def test_profiles(spark):
+    docs = spark.createDataFrame([(i, "long enough " * 30) for i in range(4)] + [(9, "short")], "doc_id bigint, text string")
+    answers = [(0, '{"category": "论文", "discipline": "物理学", "summary": "s"}'), (1, '{"category": "x", "summary": " "}'), (2, "none"), (3, '{"category": "odd", "subfield": "law", "summary": "s"}'), (9, '{"category": "理学", "summary": "s"}')]
+    known = spark.createDataFrame([("理学", "物理学"), ("交叉学科", None), ("法学", None)], "category string, discipline string")
+    got = {r.doc_id: (r.category, r.paper_type, r.validity, r.academic) for r in profile.profiles_of(docs, spark.createDataFrame(answers, "doc_id bigint, response string"), known).collect()}
+    assert got == {0: ("理学", "论文", "valid", 1.0), 3: ("法学", None, "partial", 0.6)}
 
 
 def test_pipeline_edges(spark):
@@ -116,10 +170,74 @@ def test_pipeline_edges(spark):
     assert pipeline.detect(docs.limit(0)).count() == 0
 
 
-def test_chunks_cover_the_text(spark):
-    docs = spark.createDataFrame([(1, "\n\n".join(f"word{i} " * 50 + "." for i in range(20)))], "doc_id bigint, text string")
-    got = chunk.token_chunks(split.paragraph_blocks(docs), 120).orderBy("chunk_id").collect()
-    assert len(got) > 5 and sum(len(r.text.split()) for r in got) >= 1000
+def test_chunks_are_slices(spark):
+    text = "\n\n".join(f"word{i} 中文 " * 50 + "." for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one")], "doc_id bigint, text string")
+    rows = chunk.token_chunks(docs, 120).orderBy("doc_id", "chunk_id").collect()
+    mine = [r for r in rows if r.doc_id == 1]
+    assert len(mine) > 5 and all(r.text == text[r.start : r.end] for r in mine) and "".join(r.text for r in mine) == text
+    assert [(r.doc_id, r.text) for r in rows if r.doc_id > 1] == [(2, ""), (4, "one")]
+    assert chunk.chunk_budget() == 550 and chunk.chunk_budget(2000) == 600 and chunk.chunk_budget(500, "high") == 360 and chunk.chunk_budget(50) == 120
+
+
+def test_long_segments(spark):
+    text = "这是一句很短的话！ " * 90 + "end"
+    rows = chunk.split_long(spark.createDataFrame([(1, 0, 7, text), (1, 1, 0, "short")], "doc_id bigint, chunk_id int, start int, text string"), 180).orderBy("chunk_id", "part").collect()
+    assert len(rows) > 3 and all(r.text == text[r.start - 7 : r.end - 7] for r in rows if r.chunk_id == 0) and rows[-1].text == "short"
+    assert all(sum("一" <= c <= "鿿" for c in r.text) <= 270 for r in rows)
+
+
+def test_titles_are_merged(spark):
+    texts = {1: "My Title\n\nThis is the body paragraph.", 2: "Only\n\nTitles", 3: "A body stands here, with a stop.\n\nEnd", 4: "One", 5: "标题\n\n副题\n\n正文在这里。"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {}
+    for r in chunk.merge_titles(docs, split.paragraph_array(F.col("text"))).orderBy("doc_id", "block_index").collect():
+        assert r.text.encode() == texts[r.doc_id].encode()[r.start : r.end]
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
+
+
+def test_plans_of_merges(spark):
+    docs = spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")
+    spans = F.array(*[F.struct(F.lit(2 * i).alias("start"), F.lit(2 * i + 2).alias("end")) for i in range(3)])
+    plan = lambda *pairs: F.array(*[F.struct(F.lit(a).alias("paragraph_start"), F.lit(b).alias("paragraph_end")) for a, b in pairs])
+    merge = lambda *pairs: [r.text for r in chunk.planned_merge(docs, spans, plan(*pairs)).orderBy("chunk_id").collect()]
+    assert merge((0, 1), (2, 2)) == ["abcd", "ef"] and merge((0, 0), (2, 2)) == [] and merge((0, 1)) == [] and merge((0, 3)) == [] and merge((0, 0), (1, 0), (1, 2)) == []
+
+
+def test_flat_documents_are_cut_again(spark):
+    rows = lambda ps: spark.createDataFrame([(d, i, p) for d, v in ps.items() for i, p in enumerate(v)], "doc_id bigint, chunk_id int, raw_probability double")
+    first, second = rows({1: [0.5, 0.51], 2: [0.1, 0.9] * 4}), rows({1: [0.2, 0.8, 0.4], 2: [0.1, 0.9] * 8})
+    assert {r.doc_id: r["count"] for r in chunk.resplit_flat(first, second).groupBy("doc_id").count().collect()} == {1: 3, 2: 8}
+    assert chunk.resplit_flat(first, second, "high") is first
+
+
+def test_node_blocks(spark):
+    nodes_ = [(1, 0, "heading", 0, 3, "# A"), (1, 1, "paragraph", 4, 9, "short"), (1, 2, "list_item", 10, 12, "- b"), (1, 3, "paragraph", 20, 400, "long" * 95), (2, 0, "heading", 0, 3, "# A")]
+    rows = spark.createDataFrame(nodes_, "doc_id bigint, node_index int, kind string, start int, end int, text string")
+    show = lambda **o: [(r.label, r.merged, r.start, r.end) for r in chunk.node_blocks(rows, **o).where("doc_id = 1").orderBy("block_index").collect()]
+    assert show() == [("body", True, 4, 12), ("body", False, 20, 400)]
+    assert show(headings=True, attach=True) == [("heading", False, 0, 3), ("body", True, 0, 12), ("body", False, 20, 400)]
+    assert len(show(align=False)) == 3 and chunk.node_blocks(rows).where("doc_id = 2").first().text == "# A"
+
+
+def test_noise_is_the_reference_hash():
+    import subprocess
+    import sys
+
+    data = [b"", b"a", b"12345678", "中文 text".encode() + b"\xff" + (42).to_bytes(8, "little")]
+    # with a key of zeros the interpreter's own hash is the same function
+    told = subprocess.run([sys.executable, "-c", f"import sys; assert sys.hash_info.algorithm == 'siphash13'; print([hash(x) % 2**64 for x in {data[1:]!r}])"], env={"PYTHONHASHSEED": "0"}, capture_output=True, text=True, check=True).stdout
+    assert [score.siphash13(x) for x in data[1:]] == eval(told)
+
+
+def test_filtered_detection(spark):
+    body = "This paragraph says something at length, so that it is longer than a hundred characters and ends with a stop. " * 2
+    docs = spark.createDataFrame([(1, f"目录.....1\n\n{body}\n\n参考文献\n\n{body}"), (2, "目录"), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pipeline.detect(docs, filtered=True).collect()}
+    assert (got[1].segments, got[2].segments, got[3].segments) == (2, 0, 0)
+    sentences = pipeline.filtered_segments(pipeline.prepared(docs), "sentence").collect()
+    assert sentences and all("目录" not in r.text and "参考文献" not in r.text for r in sentences)
 
 
 def test_files(spark, tmp_path):

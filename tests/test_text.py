@@ -92,5 +92,43 @@ def test_blocks_stay_within_kept_paragraphs(spark):
 
 
 def test_byte_slice_moves_to_characters(spark):
-    got = one(spark, lambda c: T.byte_slice(c, F.lit(1), F.lit(100)), "中" * 200)
-    assert got == "中" * 33
+    cut = lambda a, b, most=None: one(spark, lambda c: T.byte_slice(c, F.lit(a), F.lit(b), most), "中" * 200)
+    assert cut(1, 100) == "中" * 32 and cut(0, 100) == "中" * 33 and cut(3, 600, 100) == "中" * 33 and cut(1, 2) == "" and cut(-1, 9) == "" and cut(9, 9) == "" and cut(900, 999) == ""
+    assert one(spark, lambda c: T.byte_slice(c, F.lit(1), F.lit(7)), "a🙂é") == "🙂é" and one(spark, lambda c: T.byte_slice(c, F.lit(2), F.lit(7)), "a🙂é") == "é"
+
+
+def test_any_character_may_be_in_a_text(spark):
+    text = "One\u0000. Two\ufdd0! Three.\n\nFour\u0000 five"
+    got = one(spark, split.sentence_array, text)
+    assert [s.text for s in got] == ["One\u0000.", "Two\ufdd0!", "Three.", "Four\u0000 five"]
+    assert [p.text for p in one(spark, split.paragraph_array, text)] == ["One\u0000. Two\ufdd0! Three.", "Four\u0000 five"]
+
+
+def test_long_documents_are_split_in_order(spark):
+    text = "".join(f"Sentence {i}. " for i in range(1000))
+    got = one(spark, split.sentence_array, text)
+    assert len(got) == 1000 and all(text.encode()[s.start : s.end].decode().strip() == s.text for s in got)
+    packed = one(spark, lambda c: split.sentence_block_array(split.sentence_array(c), 100, 300), text)
+    want, size = [], 0
+    for s in got:
+        if not want or size + len(s.text) > 100:
+            want.append(0)
+            size = 0
+        want[-1] += 1
+        size += len(s.text)
+    assert [b.sentence_count for b in packed] == want
+
+
+def test_legacy_paragraphs(spark):
+    text = "\n \nA\nb\n  \n\nc中\nd"
+    got = one(spark, split.legacy_paragraph_array, text)
+    assert [(p.start, p.end, text[p.start : p.end]) for p in got] == [(3, 7, "A\nb\n"), (11, 15, "c中\nd")]
+    assert one(spark, split.legacy_paragraph_array, "") is None and len(one(spark, split.legacy_paragraph_array, " ")) == 1
+
+
+def test_smart_blocks(spark):
+    rows = [(1, "One here. Two there. Three.", None, [0]), (2, "One here. Two there.", [(0, 20)], None), (3, " ", [], None), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans array<struct<start:int,end:int>>, merges array<int>")
+    got = [(r.doc_id, r.text, r.sentence_count) for r in split.sentence_blocks_smart(docs, "spans", "merges", 12, 15).orderBy("doc_id", "block_index").collect()]
+    assert got == [(1, "One here. Two there. ", 1), (1, "Three.", 1), (2, "One here. Two there.", 1)]
+    assert split.paragraph_packs(docs, 500, 1000).where("doc_id = 1").first().paragraph_count == 1

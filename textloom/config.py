@@ -29,4 +29,3 @@ class EngineConfig:
     academic: float = 0.0
     noise: str = "none"
     lines_as_paragraphs: bool = False
-    merge_titles: bool = False

@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F
 #: Unicode white space, for use within a character class (a fixed value).
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACE_IN_LINE = "\\t\\u000b-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same as a string of all its characters.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TOKEN = "[A-Za-z0-9_]+|[一-鿿]"
 STOPS = "。！？.!?"
 ALPHA = "\\p{IsAlphabetic}"
@@ -24,17 +26,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def trimmed(text: Column) -> Column:
     """``text`` without Unicode white space at its ends."""
-    return F.regexp_replace(text, f"\\A[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalized(text: Column) -> Column:
     """One form of quotes, dashes, spaces and line ends; every line trimmed, blank lines kept."""
-    out = F.translate(text, "“”‘’—　 ", "\"\"''-  ")
-    out = F.regexp_replace(out, "\\r\\n?", "\n")
-    out = F.regexp_replace(out, "[ \\t\\f\\u000b]+", " ")
-    out = F.regexp_replace(out, f"[{SPACE_IN_LINE}]+\\n", "\n")
-    out = F.regexp_replace(out, f"\\n[{SPACE_IN_LINE}]+", "\n")
-    return trimmed(out)
+    # what most texts don't need is told by cheap tests, and only blanks that change are matched
+    out = F.when(text.rlike("[“”‘’—\u3000\u00a0]"), F.translate(text, "“”‘’—\u3000\u00a0", "\"\"''-  ")).otherwise(text)
+    out = F.when(out.contains("\r"), F.regexp_replace(out, "\\r\\n?", "\n")).otherwise(out)
+    out = F.regexp_replace(out, "[\\t\\f\\u000b][ \\t\\f\\u000b]*+| [ \\t\\f\\u000b]++", " ")
+    return trimmed(F.array_join(F.transform(F.split(out, "\n"), trimmed), "\n"))
 
 
 def tokens(text: Column) -> Column:
@@ -79,22 +80,29 @@ def tail(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.lit("..."), F.right(text, F.lit(most)))).otherwise(text)
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """Bytes ``start`` to ``end`` of a text, moved inwards to whole characters at the end and outwards at the start."""
+def byte_slice(text: Column, start: Column, end: Column, most: int | None = None) -> Column:
+    """Bytes ``start`` to ``end`` of a text, at most ``most``; the start moves on to a whole character, then the end back to one.
+
+    Empty where nothing is left, where ``start`` is negative or ``end`` isn't beyond it.
+    """
     raw = F.encode(text, "UTF-8")
     size = F.length(raw)
-    low = F.greatest(F.lit(0), F.least(start, size))
-    high = F.greatest(low, F.least(end, size))
 
     def continues(at: Column) -> Column:
         """Whether the byte at ``at`` goes on with a character."""
         return F.hex(F.substring(raw, at + 1, F.lit(1))).rlike("^[89AB]")
 
-    def floor(at: Column) -> Column:
+    def ahead(at: Column) -> Column:
+        return at + F.when(continues(at), F.when(continues(at + 1), F.when(continues(at + 2), 3).otherwise(2)).otherwise(1)).otherwise(0)
+
+    def back(at: Column) -> Column:
         return at - F.when(continues(at), F.when(continues(at - 1), F.when(continues(at - 2), 3).otherwise(2)).otherwise(1)).otherwise(0)
 
-    first = floor(low)
-    return F.decode(F.substring(raw, first + 1, F.greatest(F.lit(0), floor(high) - first)), "UTF-8")
+    limit = F.least(end, size)
+    first = F.least(ahead(F.least(F.greatest(start, F.lit(0)), size)), limit)
+    last = back(limit if most is None else F.least(first + most, limit))
+    cut = F.decode(F.substring(raw, first + 1, F.greatest(F.lit(0), last - first)), "UTF-8")
+    return F.when((start < 0) | (end <= start), F.when(text.isNotNull(), "")).otherwise(cut)
 
 
 def byte_offset(text: Column, chars: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.config import MARGIN, profile
+from textloom.functions.text import let
 from textloom.operators.score import held, logit, safe_logistic
 
 
@@ -87,60 +90,110 @@ def aggregated_legacy(segments: DataFrame) -> DataFrame:
     })
 
 
-def fused(paragraph: DataFrame, sentence: DataFrame, uncertainty: DataFrame, sensitivity: str = "medium") -> DataFrame:
-    """0.6 of the paragraph side and 0.4 of the sentence side, or the paragraph side alone where the other is 0.
+def fused_views(rows: DataFrame, sensitivity: str = "medium") -> DataFrame:
+    """``rows`` with ``fused_probability, fused_confidence, fused_uncertainty, fused_decision``.
 
-    ``uncertainty``: ``doc_id, mean_uncertainty``, the plain mean over paragraph segments.
+    0.6 of the paragraph view and 0.4 of the sentence view, or the paragraph view
+    alone where the other's probability is 0.  Needs each view's ``overall_probability``
+    and ``overall_confidence``, ``paragraph_supported`` and ``paragraph_mean_uncertainty``,
+    the plain mean over paragraph segments.
     """
-    p = paragraph.select("doc_id", F.col("overall_probability").alias("pp"), F.col("overall_confidence").alias("pc"), "supported")
-    s = sentence.select("doc_id", F.col("overall_probability").alias("sp"), F.col("overall_confidence").alias("sc"))
-    rows = p.join(s, "doc_id", "left").join(uncertainty, "doc_id", "left")
-    some = F.coalesce("sp", F.lit(0.0)) > 0
+    some = F.col("sentence_overall_probability") > 0
+    mix = lambda c: F.when(some, 0.6 * F.col(f"paragraph_{c}") + 0.4 * F.col(f"sentence_{c}")).otherwise(F.col(f"paragraph_{c}"))
     out = rows.withColumns({
-        "fused_probability": F.when(some, 0.6 * F.col("pp") + 0.4 * F.col("sp")).otherwise(F.col("pp")),
-        "fused_confidence": F.when(some, 0.6 * F.col("pc") + 0.4 * F.col("sc")).otherwise(F.col("pc")),
-        "fused_uncertainty": F.coalesce("mean_uncertainty", F.lit(0.0)),
+        "fused_probability": mix("overall_probability"), "fused_confidence": mix("overall_confidence"), "fused_uncertainty": F.coalesce("paragraph_mean_uncertainty", F.lit(0.0)),
     })
-    return out.select("doc_id", "fused_probability", "fused_confidence", "fused_uncertainty", overall_decision(F.col("fused_probability"), F.col("fused_uncertainty"), F.col("supported"), sensitivity).alias("fused_decision"))
+    return out.withColumn("fused_decision", overall_decision(F.col("fused_probability"), F.col("fused_uncertainty"), F.col("paragraph_supported"), sensitivity))
 
 
-def sharpened(segments: DataFrame, gamma: float = 1.45, tag_from: float | None = None, steps: int = 28) -> DataFrame:
-    """``segments`` with ``sharpened``: probabilities drawn apart around the document's median, their mean kept.
+#: Strength of the sharpening by sensitivity in the archived implementation (fixed values).
+GAMMA = {"low": 1.10, "medium": 1.45, "high": 1.75}
+
+
+def _total(values: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
 
-    Documents with fewer than four segments are unchanged.  Quantiles are items of
-    the sorted probabilities, not interpolated.  One array a document holds its
-    probabilities and confidences; ``tag_from`` adds ``tagged`` for those at least so far from the median.
-    """
-    item = F.struct(F.col("chunk_id"), F.col("raw_probability").alias("p"), F.col("confidence").alias("c"))
-    docs = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    n = F.size("items")
-    docs = docs.withColumn("_o", F.array_sort(F.transform("items", lambda x: x["p"])))
-    at = lambda share: F.get("_o", F.floor(n * share).cast("int"))
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    docs = docs.withColumns({"_m": F.get("_o", F.floor(n / 2).cast("int")), "_iqr": at(0.75) - at(0.25), "_mean": total("_o", lambda x: x) / n})
-    docs = docs.withColumn("_sd", F.sqrt(total("_o", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))) / n))
-    docs = docs.withColumn("_g", F.least(gamma * (1 + F.greatest(F.lit(0.0), (0.06 - F.col("_sd")) * 10)), F.lit(2.5)))
-    z = lambda x: (x["p"] - F.col("_m")) / (F.greatest(F.col("_iqr"), F.lit(1e-6)) / 1.349)
-    surer = lambda x: 0.6 + 0.4 * F.greatest(F.lit(0.3), F.least(F.lit(0.92), x["c"]))
-    docs = docs.withColumn("_l", F.transform("items", lambda x: logit(x["p"]) + F.col("_g") * z(x) * surer(x)))
-    mean_at = lambda shift: total("_l", lambda x: safe_logistic(x + shift)) / n
 
+def _spread(ps: Column) -> Column:
+    """struct(m, iqr, mean, sd) of a document's probabilities; quantiles are items of the sorted ones, not interpolated."""
+    def of(o: Column) -> Column:
+        n = F.size(o)
+        at = lambda share: F.get(o, F.floor(n * share).cast("int"))
+        mean = _total(o, lambda x: x) / n
+        sd = let(mean, lambda m: F.sqrt(_total(o, lambda x: (x - m) * (x - m)) / n))
+        return F.struct(at(0.5).alias("m"), F.greatest(at(0.75) - at(0.25), F.lit(1e-6)).alias("iqr"), mean.alias("mean"), sd.alias("sd"))
+
+    return let(F.array_sort(ps), of)
+
+
+def _shifted(logits: Column, mean: Column, steps: int) -> Column:
+    """Probabilities of ``logits``, all moved alike so that their mean is ``mean``; the move is found by halving."""
     def half(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        over = mean_at(mid) > F.col("_mean")
+        over = _total(logits, lambda x: safe_logistic(x + mid)) / F.size(logits) > mean
         return F.struct(F.when(over, s["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(s["hi"]).alias("hi"))
 
     start = F.struct(F.lit(-6.0).alias("lo"), F.lit(6.0).alias("hi"))
-    docs = docs.withColumn("_shift", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: (s["lo"] + s["hi"]) / 2))
+    shift = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: (s["lo"] + s["hi"]) / 2)
+    return let(shift, lambda c: F.transform(logits, lambda x: safe_logistic(x + c)))
+
+
+def _sharpen(segments: DataFrame, final: Callable[[Column, Column], Column]) -> DataFrame:
+    """``segments`` and the fields that ``final`` gives each item of a document's ordered ``chunk_id, p, c``, from the items and their spread."""
+    item = F.struct(F.col("chunk_id"), F.col("raw_probability").alias("p"), F.col("confidence").alias("c"))
+    docs = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    found = let(F.col("items"), lambda xs: let(_spread(F.transform(xs, lambda x: x["p"])), lambda q: final(xs, q)))
+    return segments.join(docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*"), ["doc_id", "chunk_id"])
+
+
+def _drawn(xs: Column, q: Column, gamma: float, steps: int) -> Column:
+    """Probabilities drawn apart around the median, their mean kept; items of little confidence take a fifth of the change."""
+    g = F.least(gamma * (1 + F.greatest(F.lit(0.0), (0.06 - q["sd"]) * 10)), F.lit(2.5))
+    surer = lambda x: 0.6 + 0.4 * F.greatest(F.lit(0.3), F.least(F.lit(0.92), x["c"]))
+    logits = F.transform(xs, lambda x: logit(x["p"]) + g * ((x["p"] - q["m"]) / (q["iqr"] / 1.349)) * surer(x))
+    new = let(logits, lambda ls: _shifted(ls, q["mean"], steps))
+    return F.zip_with(xs, new, lambda x, p: held(F.when(x["c"] < 0.5, 0.8 * x["p"] + 0.2 * p).otherwise(p)))
+
+
+def sharpened(segments: DataFrame, gamma: float = 1.45, steps: int = 28) -> DataFrame:
+    """``segments`` with ``sharpened``: probabilities drawn apart around the document's median, their mean kept.
+
+    Documents with fewer than four segments are unchanged.  One array a document
+    holds its probabilities and confidences.
+    """
+    def final(xs: Column, q: Column) -> Column:
+        new = F.when(F.size(xs) < 4, F.transform(xs, lambda x: x["p"])).otherwise(_drawn(xs, q, gamma, steps))
+        return F.zip_with(xs, new, lambda x, p: F.struct(x["chunk_id"].alias("chunk_id"), p.alias("sharpened")))
+
+    return _sharpen(segments, final)
 
-    def final(x: Column, i: Column) -> Column:
-        new = safe_logistic(F.get("_l", i) + F.col("_shift"))
-        mixed = F.when(x["c"] < 0.5, 0.8 * x["p"] + 0.2 * new).otherwise(new)
-        p = F.when(n < 4, x["p"]).otherwise(held(mixed))
-        return F.struct(x["chunk_id"].alias("chunk_id"), p.alias("sharpened"), (F.abs(p - F.col("_m")) >= (tag_from or 9)).alias("tagged"))
 
-    out = docs.select("doc_id", F.explode(F.transform("items", final)).alias("x")).select("doc_id", "x.*")
-    return segments.join(out if tag_from else out.drop("tagged"), ["doc_id", "chunk_id"])
+def sharpened_legacy(segments: DataFrame, sensitivity: str = "medium") -> DataFrame:
+    """``segments`` with ``sharpened`` and ``tags`` as in the archived implementation.
+
+    The strength depends on the sensitivity; probabilities at least 0.15 from the
+    median before are tagged; where all are still close together a second, stronger
+    pass follows, without regard to confidence.
+    """
+    gamma = GAMMA.get((sensitivity or "medium").lower(), GAMMA["medium"])
+
+    def final(xs: Column, q: Column) -> Column:
+        def second(first: Column) -> Column:
+            def boosted(r: Column) -> Column:
+                logits = F.transform(first, lambda p: logit(p) + min(3.0, gamma * 1.6) * ((p - r["m"]) / (r["iqr"] / 1.349)))
+                again = let(logits, lambda ls: F.transform(_shifted(ls, r["mean"], 22), held))
+                flat = (r["sd"] < 0.05) & (F.size(xs) > 3)
+                tags = lambda p: F.array(F.when((F.size(xs) > 3) & (F.abs(p - q["m"]) >= 0.15), "contrastSharpening"), F.when(flat, "contrastSharpening(boost)"))
+                return F.transform(xs, lambda x, i: F.struct(
+                    x["chunk_id"].alias("chunk_id"), F.when(flat, F.get(again, i)).otherwise(F.get(first, i)).alias("sharpened"),
+                    F.filter(tags(F.get(first, i)), lambda t: t.isNotNull()).alias("tags"),
+                ))
+
+            return let(_spread(first), boosted)
+
+        return let(F.when(F.size(xs) < 4, F.transform(xs, lambda x: x["p"])).otherwise(_drawn(xs, q, gamma, 28)), second)
+
+    return _sharpen(segments, final)
 
 
 def nearest_rank(values: Column, share: float = 0.95) -> Column:
@@ -148,25 +201,29 @@ def nearest_rank(values: Column, share: float = 0.95) -> Column:
     return F.get(F.array_sort(values), F.bround(share * (F.size(values) - 1)).cast("int"))
 
 
-def batch_summary(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def batch_summary(items: DataFrame, keys: tuple[str, ...] = (), digits: tuple[int, ...] = (3, 6, 9)) -> DataFrame:
     """``count, fail_count, average, p95`` of a batch's ``probability``, a null one being a failure.
 
-    The exact 95th value is found in two steps: counts by thousandths say in which
-    of them it lies, and only that one's distinct values are ranked.
+    The exact 95th value is found by narrowing down: counts by thousandths say in
+    which of them it lies, then counts by ever smaller cells within it; at last only
+    the distinct values of one cell of 1e-9 are ranked, and at most about 1e7 doubles of that size differ.
     """
     named = items.withColumn("_all", F.lit(1))
     by = ["_all", *keys]
     counts = named.groupBy(*by).agg(F.count("*").alias("count"), F.count_if(F.col("probability").isNull()).alias("fail_count"), F.avg("probability").alias("average"))
-    values = named.where("probability is not null").groupBy(*by, "probability").agg(F.count("*").alias("c")).withColumn("cell", F.floor(F.col("probability") * 1000))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    values = named.where("probability is not null").groupBy(*by, "probability").agg(F.count("*").alias("c"))
     part = W.partitionBy(*by)
-    cells = values.groupBy(*by, "cell").agg(F.sum("c").alias("n")).withColumns({"upto": F.sum("n").over(part.orderBy("cell")), "total": F.sum("n").over(part)})
-    place = F.bround(0.95 * (F.col("total") - 1)).cast("bigint")
-    home = cells.where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(*by, "cell", (place - (F.col("upto") - F.col("n"))).alias("place"))
-    inside = values.alias("a").join(home.alias("b"), [*same, F.col("a.cell") == F.col("b.cell")]).select("a.*", "b.place")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    sized = values.groupBy(*by).agg(F.sum("c").alias("total"))
+    inside = values.alias("a").join(sized.alias("b"), same("a", "b")).select("a.*", F.bround(0.95 * (F.col("b.total") - 1)).cast("bigint").alias("place"))
+    for d in digits:
+        celled = inside.withColumn("cell", F.floor(F.col("probability") * 10**d))
+        cells = celled.groupBy(*by, "cell").agg(F.sum("c").alias("n"), F.first("place").alias("place")).withColumn("upto", F.sum("n").over(part.orderBy("cell")))
+        home = cells.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place"))).select(*by, "cell", (F.col("place") - (F.col("upto") - F.col("n"))).alias("place"))
+        inside = celled.drop("place").alias("a").join(home.alias("b"), [*same("a", "b"), F.col("a.cell") == F.col("b.cell")]).select("a.*", "b.place").drop("cell")
     ranked = inside.withColumn("upto", F.sum("c").over(part.orderBy("probability")))
     p95 = ranked.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(*by, F.col("probability").alias("p95"))
-    return counts.alias("a").join(p95.alias("b"), same, "left").select("a.*", "b.p95").drop("_all")
+    return counts.alias("a").join(p95.alias("b"), same("a", "b"), "left").select("a.*", "b.p95").drop("_all")
 
 
 def multi_round(docs: DataFrame, rounds: int = 3) -> DataFrame:
@@ -196,6 +253,11 @@ def cost_summary(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("most_tokens"))
 
 
+def provider_summary(judgments: DataFrame, providers: Column) -> DataFrame:
+    """``provider, requested, success`` over a batch: how often each was asked, and how often its answer could be read (``ok``)."""
+    return judgments.select(F.explode(F.array_distinct(providers)).alias("provider"), "ok").groupBy("provider").agg(F.count("*").alias("requested"), F.count_if("ok").alias("success"))
+
+
 def latency_summary(calls: DataFrame) -> DataFrame:
     """Calls of each provider: ``total, success, failed, min_ms, avg_ms, max_ms`` from ``provider, ms, ok``."""
     return calls.groupBy("provider").agg(

@@ -8,6 +8,8 @@ from textloom.functions.text import ALPHA, SPACE, STOPS, stopped, trimmed
 
 _END = f"[{SPACE}]*\\z"
 _DIGIT = "\\p{Nd}"
+#: Classes of paragraphs, abbreviations, and words that mark a line after a heading as its own (fixed values, as are the patterns below).
+CATEGORIES = ["body", "title", "toc", "reference", "noise", "auxiliary"]
 ABBREVIATIONS = ["e.g.", "i.e.", "etc.", "vs.", "mr.", "mrs.", "ms.", "dr.", "prof.", "fig.", "eq.", "no.", "inc.", "ltd."]
 META_KEYWORDS = ["副标题", "Subheading", "Subtitle", "编号", "No.", "NO.", "序号"]
 
@@ -54,6 +56,15 @@ def is_title(t: Column) -> Column:
 RULES = [("noise", 0.9, is_noise), ("toc", 0.95, is_contents), ("reference", 0.9, is_reference), ("title", 0.85, is_title)]
 
 
+def is_body(text: Column) -> Column:
+    """Whether no rule takes a paragraph out: what the rules aren't sure of stays."""
+    t = trimmed(text)
+    out = ~RULES[0][2](t)
+    for _, _, rule in RULES[1:]:
+        out = out & ~rule(t)
+    return out
+
+
 def classified(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``category, class_confidence, reason``; null where no rule is sure."""
     t = trimmed(F.col("text"))
@@ -79,7 +90,7 @@ def settled(classes: DataFrame, answers: DataFrame | None = None) -> DataFrame:
             "by": F.coalesce("by", F.lit("fallback")), "reason": F.coalesce("reason", F.lit("llm_fallback")),
             "category": F.coalesce("category", F.lit("body")), "class_confidence": F.coalesce("class_confidence", F.lit(0.5)),
         })
-    known = F.when(F.col("category").isin("body", "title", "toc", "reference", "noise"), F.col("category")).otherwise("body")
+    known = F.when(F.col("category").isin(CATEGORIES), F.col("category")).otherwise("body")
     one = answers.groupBy("doc_id", "block_index").agg(F.min(F.struct(known.alias("c"), F.coalesce("confidence", F.lit(0.5)).alias("s"))).alias("a"))
     joined = sure.join(one, ["doc_id", "block_index"], "left")
     return joined.select(
@@ -128,8 +139,8 @@ def sentence_tiers(sentences: DataFrame) -> DataFrame:
 def neighbours(blocks: DataFrame, most: int = 600) -> DataFrame:
     """``blocks`` with the shortened texts of the block before and after."""
     order = W.partitionBy("doc_id").orderBy("block_index")
-    cut = lambda c: F.left(c, F.lit(most))
-    return blocks.withColumns({"previous_text": cut(F.lag("text").over(order)), "next_text": cut(F.lead("text").over(order))})
+    short = F.left("text", F.lit(most))  # cut before the shuffle
+    return blocks.withColumns({"previous_text": F.lag(short).over(order), "next_text": F.lead(short).over(order)})
 
 
 def heading_line(t: Column) -> Column:
@@ -162,3 +173,8 @@ def conflicting(explanations: Column) -> Column:
     """Whether the explanations of a segment's diversity contradict each other."""
     told = F.array_join(explanations, " ")
     return told.contains("ttr") & told.contains("多样性高") & told.contains("多样性低")
+
+
+def non_body(classes: DataFrame) -> DataFrame:
+    """The paragraphs that aren't body."""
+    return classes.where(F.col("category") != "body")

@@ -44,19 +44,24 @@ def matched(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
 def divergent(pairs: DataFrame, docs: DataFrame, threshold: float = 0.20, preview: int = 100) -> DataFrame:
     """Pairs whose probabilities differ by more than ``threshold``, with the overlapping text's first bytes."""
     far = pairs.where(F.col("diff") > threshold).join(docs.select("doc_id", "text"), "doc_id")
-    cut = byte_slice(F.col("text"), F.col("from"), F.least(F.col("from") + F.col("overlap"), F.col("from") + preview))
+    cut = byte_slice(F.col("text"), F.col("from"), F.col("from") + F.col("overlap"), preview)
     shown = F.when(F.col("overlap") > preview, F.concat(cut, F.lit("..."))).otherwise(cut)
-    return far.select("doc_id", "paragraph_id", "sentence_id", rounded(F.col("paragraph_probability")).alias("paragraph_probability"), rounded(F.col("sentence_probability")).alias("sentence_probability"), rounded(F.col("diff")).alias("diff"), shown.alias("preview"))
+    return far.select("doc_id", "paragraph_id", "sentence_id", rounded(F.col("paragraph_probability")).alias("paragraph_probability"), rounded(F.col("sentence_probability")).alias("sentence_probability"), rounded(F.col("diff")).alias("diff"), "overlap", shown.alias("preview"))
+
+
+def agreement(pairs: DataFrame, threshold: float = 0.20) -> DataFrame:
+    """``doc_id, agreed, far``: the share of a document's pairs on the same side of 0.5, and how many differ by more than ``threshold``."""
+    return pairs.groupBy("doc_id").agg(F.avg(F.col("agree").cast("double")).alias("agreed"), F.count_if(F.col("diff") > threshold).alias("far"))
 
 
 def comparison(docs: DataFrame, paragraphs: DataFrame, sentences: DataFrame, threshold: float = 0.20) -> DataFrame:
     """``doc_id, probability_diff, consistency_score, divergent_count``; 0, 1 and 0 where a side is empty."""
     mean = lambda side, name: side.groupBy("doc_id").agg(F.avg("raw_probability").alias(name))
-    agreed = matched(paragraphs, sentences).groupBy("doc_id").agg(F.avg(F.col("agree").cast("double")).alias("c"), F.count_if(F.col("diff") > threshold).alias("d"))
+    agreed = agreement(matched(paragraphs, sentences), threshold)
     rows = docs.select("doc_id").join(mean(paragraphs, "p"), "doc_id", "left").join(mean(sentences, "s"), "doc_id", "left").join(agreed, "doc_id", "left")
     return rows.select(
         "doc_id", F.coalesce(rounded(F.abs(F.col("p") - F.col("s"))), F.lit(0.0)).alias("probability_diff"),
-        F.coalesce(rounded(F.col("c")), F.lit(1.0)).alias("consistency_score"), F.coalesce("d", F.lit(0)).alias("divergent_count"),
+        F.coalesce(rounded(F.col("agreed")), F.lit(1.0)).alias("consistency_score"), F.coalesce("far", F.lit(0)).alias("divergent_count"),
     )
 
 
@@ -94,3 +99,27 @@ def headings_have_bodies(hits: DataFrame) -> DataFrame:
     chunk = hits.groupBy("doc_id", "chunk_id").agg(F.bool_or(body).alias("has_body"))
     headings = hits.where("kind = 'heading'").join(chunk, ["doc_id", "chunk_id"]).groupBy("doc_id", "node_index").agg(F.bool_or("has_body").alias("good"))
     return hits.select("doc_id").distinct().join(headings.groupBy("doc_id").agg(F.bool_and("good").alias("good")), "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(True)).alias("ok"))
+
+
+def highlighted(segments: DataFrame, far: DataFrame, side: str = "paragraph_id") -> DataFrame:
+    """``segments`` with ``divergent``: whether they are in one of the pairs of ``divergent``."""
+    ids = far.select("doc_id", F.col(side).alias("chunk_id")).distinct().withColumn("_far", F.lit(True))
+    return segments.join(ids, ["doc_id", "chunk_id"], "left").withColumn("divergent", F.coalesce("_far", F.lit(False))).drop("_far")
+
+
+def originals(segments: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, chunk_id, original``: each segment's slice of its document."""
+    rows = segments.select("doc_id", "chunk_id", "start", "end").join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
+    return rows.select("doc_id", "chunk_id", byte_slice(F.col("_text"), F.col("start"), F.col("end")).alias("original"))
+
+
+def badges(hits: DataFrame, most: int = 3) -> DataFrame:
+    """``doc_id, chunk_id, nodes``: the nodes shown with a segment, those covered most first."""
+    item = F.struct((-F.col("coverage")).alias("c"), (-F.col("overlap")).alias("o"), "node_index")
+    return hits.groupBy("doc_id", "chunk_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["node_index"]), 1, most).alias("nodes"))
+
+
+def in_order(segments: DataFrame, most: int | None = None) -> DataFrame:
+    """``segments`` by document and place, for output only; ``most`` keeps the first so many of each document."""
+    kept = segments if most is None else segments.where(F.col("chunk_id") < most)
+    return kept.orderBy("doc_id", "chunk_id")

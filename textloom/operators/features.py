@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.functions.text import legacy_tokens, let, tokens
 from textloom.operators.split import sentence_array, simple_sentences
 
-#: Function words that count for the ratio (fixed values; a word of two characters never equals a token).
+#: Function words that count for the ratio, and those of the archived implementation (fixed values; a word of two characters never equals a token).
 FUNCTION_WORDS = ["的", "之", "一", "是", "了", "在", "有", "和", "与", "这", "对", "也", "为", "而", "并且"]
 LEGACY_FUNCTION_WORDS = [*FUNCTION_WORDS, "小", "大"]
 FEATURES = ["ttr", "avg_sentence_len", "function_word_ratio", "punctuation_ratio", "repeat_ratio", "ngram_repeat_rate"]
@@ -84,10 +84,10 @@ def entropy(token_counts: Column) -> Column:
 def perplexity(blocks: DataFrame) -> DataFrame:
     """``blocks`` (with ``token_counts``) and ``ppl``: the unigram estimate within 20 to 300; 120 without tokens."""
     n = F.aggregate("token_counts", F.lit(0), lambda a, c: a + c)
-    scaled = 20 + F.least((F.exp(entropy(F.col("token_counts"))) - 1) * 22.5, F.lit(280.0))
-    base = 120 - 60 * F.size("token_counts") / n + F.length("text") / 500
-    value = F.greatest(F.lit(20.0), F.least(F.lit(300.0), (scaled + base) / 2))
-    return blocks.withColumn("ppl", F.when(n > 0, F.floor(value * 100 + 0.5 + 1e-7) / 100).otherwise(F.lit(120.0)))
+    scaled = 20.0 + F.least((F.exp(entropy(F.col("token_counts"))) - 1.0) * 22.5, F.lit(280.0))
+    base = 120.0 - F.size("token_counts") / n * 60.0 + F.length("text") / 500
+    value = F.greatest(F.lit(20.0), F.least(F.lit(300.0), 0.5 * scaled + 0.5 * base))
+    return blocks.withColumn("ppl", F.when(n > 0, F.floor(value * 100 + 0.5) / 100).otherwise(F.lit(120.0)))
 
 
 def readability(blocks: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ terms out, other missing features count as 0.
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions.text import SPACE, is_cjk
@@ -100,25 +102,68 @@ def anchors(cjk: Column, academic: Column) -> tuple[Column, Column]:
     return F.coalesce(machine, F.lit(0.0)), F.coalesce(human, F.lit(0.0))
 
 
+def siphash13(data: bytes) -> int:
+    """SipHash-1-3 of ``data`` with a key of zeros."""
+    full = 0xFFFFFFFFFFFFFFFF
+    turn = lambda x, n: (x << n | x >> (64 - n)) & full
+    v0, v1, v2, v3 = 0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573
+
+    def mix() -> None:
+        nonlocal v0, v1, v2, v3
+        v0 = (v0 + v1) & full
+        v2 = (v2 + v3) & full
+        v1 = turn(v1, 13) ^ v0
+        v3 = turn(v3, 16) ^ v2
+        v0 = turn(v0, 32)
+        v2 = (v2 + v1) & full
+        v0 = (v0 + v3) & full
+        v1 = turn(v1, 17) ^ v2
+        v3 = turn(v3, 21) ^ v0
+        v2 = turn(v2, 32)
+
+    whole = len(data) // 8
+    words = [*struct.unpack(f"<{whole}Q", data[: whole * 8]), int.from_bytes(data[whole * 8 :], "little") | (len(data) & 0xFF) << 56]
+    for word in words:
+        v3 ^= word
+        mix()
+        v0 ^= word
+    v2 ^= 0xFF
+    for _ in range(3):
+        mix()
+    return v0 ^ v1 ^ v2 ^ v3
+
+
+NOISE_SEED = 42
+
+
+def _siphash_noise(texts: pd.Series) -> pd.Series:
+    tail = b"\xff" + NOISE_SEED.to_bytes(8, "little")
+    return pd.Series([None if t is None else siphash13(t.encode("utf-8", "surrogatepass") + tail) % 10000 / 10000 - 0.5 for t in texts], dtype="float64")
+
+
 def noise(text: Column, how: str = "none") -> Column:
-    """The tie-breaking noise, at most 0.01 either way: ``none``, or ``xxhash64`` (another hash than the reference's)."""
+    """The tie-breaking noise, at most 0.01 either way: ``none``, ``siphash13`` (the reference's), or ``xxhash64`` (another hash, without Python)."""
     if how == "none":
         return F.lit(0.0)
+    if how == "siphash13":
+        return F.pandas_udf(_siphash_noise, "double")(text) * 0.02
     return (F.pmod(F.xxhash64(text), F.lit(10000)) / 10000 - 0.5) * 0.02
 
 
-def scored(segments: DataFrame, language: str = "language", academic: float = 0.0, noisy: str = "none") -> DataFrame:
-    """``segments`` with ``raw_probability, confidence, uncertainty, explanations``."""
-    cjk, strength = is_cjk(F.col(language)), F.lit(academic)
+def scored(segments: DataFrame, language: str = "language", academic: Column | float = 0.0, noisy: str = "none") -> DataFrame:
+    """``segments`` with ``raw_probability, confidence, uncertainty, explanations``; ``academic`` is a number or a column, null counting as 0."""
+    cjk = is_cjk(F.col(language))
+    strength = F.coalesce(academic, F.lit(0.0)) if isinstance(academic, Column) else F.lit(academic)
     t = terms(cjk, strength)
     machine, human = anchors(cjk, strength)
-    parts = segments.withColumns({f"_{k}": v for k, v in t.items()} | {"_machine": machine, "_human": human, "_academic": academic_anchors(F.col("text")) * academic})
-    anchor = F.when(F.col("_machine") > 0.3, F.col("_machine") * 1.5 * (1 - WEIGHTS["anchor"][0] * academic) * F.when(cjk, 0.9).otherwise(1.0)).otherwise(0.0)
+    parts = segments.withColumns({f"_{k}": v for k, v in t.items()} | {"_machine": machine, "_human": human, "_academic": academic_anchors(F.col("text")) * strength})
+    anchor = F.when(F.col("_machine") > 0.3, F.col("_machine") * 1.5 * (1 - WEIGHTS["anchor"][0] * strength) * F.when(cjk, 0.9).otherwise(1.0)).otherwise(0.0)
     anchor = anchor + F.when(F.col("_human") > 0.3, F.col("_human") * -1.2).otherwise(0.0) - 0.45 * F.col("_academic")
     total = reduce(lambda a, b: a + b, [F.col(f"_{k}") for k in t]) + anchor
     p = logistic(total)
     if noisy != "none":
-        p = F.when((p > 0.35) & (p < 0.75), held(p + noise(F.col("text"), noisy))).otherwise(p)
+        # only texts near the middle are hashed
+        p = F.when((p > 0.35) & (p < 0.75), held(p + noise(F.when((p > 0.35) & (p < 0.75), F.col("text")), noisy))).otherwise(p)
     ttr, length, ppl = F.col("_ttr_low") + F.col("_ttr_high"), F.col("_short") + F.col("_long"), F.col("_ppl_low") + F.col("_ppl_high")
     say = lambda condition, form, *values: F.when(condition, F.format_string(form, *values))
     told = F.array(
@@ -141,10 +186,11 @@ def confident(segments: DataFrame) -> DataFrame:
     return segments.withColumn("confidence", confidence).withColumn("uncertainty", F.greatest(F.lit(0.05), F.least(F.lit(0.9), 1 - F.col("confidence"))))
 
 
-def scored_short(segments: DataFrame, language: str = "language", academic: float = 0.0) -> DataFrame:
+def scored_short(segments: DataFrame, language: str = "language", academic: Column | float = 0.0) -> DataFrame:
     """The score of short texts: no perplexity, anchors or noise, gentler coefficients."""
     with_ppl = segments.withColumn("ppl", F.lit(None).cast("double"))
-    t = terms(is_cjk(F.col(language)), F.lit(academic), SHORT_TEXT, SHORT_TEXT_ACADEMIC)
+    strength = F.coalesce(academic, F.lit(0.0)) if isinstance(academic, Column) else F.lit(academic)
+    t = terms(is_cjk(F.col(language)), strength, SHORT_TEXT, SHORT_TEXT_ACADEMIC)
     return confident(with_ppl.withColumn("raw_probability", held(logistic(reduce(lambda a, b: a + b, t.values())))))
 
 

@@ -10,48 +10,88 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.functions.text import SPACE, let, trimmed
+from textloom.functions.text import SPACE, SPACE_IN_LINE, let, trimmed
 
-_CUT = "\u0000"
+#: Marks of places to cut at; the first that a text lacks is used.  A text that holds all of them is cut at the last one, too.
+_MARKS = ["\u0000", "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"]
 _QUOTES = "\"“”'‘’"
+#: Items whose running sums are appended one by one; longer arrays are taken in parts of so many, so the work grows with their length only.
+_PART = 128
+
+
+def _mark(text: Column) -> Column:
+    """A character that ``text`` doesn't hold."""
+    out = F.lit(_MARKS[-1])
+    for mark in reversed(_MARKS[:-1]):
+        out = F.when(~text.contains(mark), mark).otherwise(out)
+    return out
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """A text cut after each match of ``pattern``, which stays with the piece before it."""
+    return let(_mark(text), lambda mark: F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.concat(F.lit("$1"), mark)), mark))
+
+
+def _parts(items: Column) -> Column:
+    """An array's consecutive parts, _PART items each."""
+    def cut(items: Column) -> Column:
+        n = F.size(items)
+        some = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _PART).cast("int")), lambda k: F.slice(items, k * _PART + 1, F.lit(_PART)))
+        return F.when(n > 0, some).otherwise(F.filter(F.array(items), lambda x: F.size(x) > 0))
+
+    return let(items, cut)
 
 
 def _running(sizes: Column) -> Column:
     """Sums of an array's items before each place, and of all."""
-    return F.aggregate(sizes, F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+    def grow(sums: Column, x: Column) -> Column:
+        return F.array_append(sums, F.element_at(sums, -1) + x)
+
+    def joined(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda sums, p: grow(sums, F.element_at(p, -1)))
+        moved = let(starts, lambda at: F.transform(parts, lambda p, k: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: x + F.get(at, k))))
+        return F.concat(F.array(F.lit(0)), F.flatten(moved))
+
+    return let(F.transform(_parts(sizes), lambda p: F.aggregate(p, F.array(F.lit(0)), grow)), joined)
 
 
-def _located(pieces: Column) -> Column:
-    """Raw pieces of a text, trimmed, with their byte spans; blank ones dropped.
+def _located(pieces: Column, chars: bool = False) -> Column:
+    """Raw pieces of a text, trimmed, with their spans in bytes (or ``chars``); blank ones dropped.
 
     ``start`` and ``end`` span the whole piece, ``left`` is where its text begins.
     """
+    size = F.length if chars else F.octet_length
+
     def spans(pieces: Column, sums: Column) -> Column:
         return F.transform(
             pieces,
             lambda p, i: F.struct(
                 F.get(sums, i).alias("start"), F.get(sums, i + 1).alias("end"),
-                (F.get(sums, i) + F.octet_length(p) - F.octet_length(F.regexp_replace(p, f"\\A[{SPACE}]+", ""))).cast("int").alias("left"),
+                (F.get(sums, i) + size(p) - size(F.regexp_replace(p, f"\\A[{SPACE}]+", ""))).cast("int").alias("left"),
                 trimmed(p).alias("text"),
             ),
         )
 
-    found = let(pieces, lambda ps: let(_running(F.transform(ps, lambda p: F.octet_length(p).cast("int"))), lambda sums: spans(ps, sums)))
+    found = let(pieces, lambda ps: let(_running(F.transform(ps, lambda p: size(p).cast("int"))), lambda sums: spans(ps, sums)))
     return F.filter(found, lambda s: F.length(s["text"]) > 0)
 
 
-def sentence_array(text: Column) -> Column:
-    """array<struct<start,end,left,text>> of the sentences.
+def sentence_array(text: Column, chars: bool = False) -> Column:
+    """array<struct<start,end,left,text>> of the sentences, spans in bytes (or ``chars``).
 
     A quotation mark of any kind toggles whether the scan is in a quotation, where
     nothing splits; a full stop between digits doesn't split; blanks and tabs after a
     stop belong to the sentence before.
     """
     parts = F.split(text, f"(?<=[{_QUOTES}])")
-    stop = "((?:[。！？!?]|(?<![0-9])\\.|\\.(?![0-9]))[ \\t]*)"
-    # a full stop at the very end of a part has no digit after it in the part: look at the whole text's next character, a quotation mark
-    cut = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, stop, "$1" + _CUT)).otherwise(p))
-    return _located(F.split(F.array_join(cut, ""), _CUT))
+    # a full stop at the very end of a part has no digit after it: the next character of the text is a quotation mark
+    stop = F.lit("((?:[。！？!?]|(?<![0-9])\\.|\\.(?![0-9]))[ \\t]*)")
+
+    def cut(mark: Column) -> Column:
+        with_mark = F.concat(F.lit("$1"), mark)
+        return F.split(F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, stop, with_mark)).otherwise(p)), ""), mark)
+
+    return _located(let(_mark(text), cut), chars)
 
 
 def simple_sentences(text: Column) -> Column:
@@ -59,21 +99,47 @@ def simple_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, f"(?<=[。！？?!])[{SPACE}]+"), trimmed), lambda s: F.length(s) > 0)
 
 
-def paragraph_array(text: Column) -> Column:
-    """array<struct<start,end,text>> of the paragraphs; the spans are those of the trimmed texts.  A text without any is one block."""
-    marked = F.regexp_replace(text, f"(\\n[{SPACE}]*\\n)", "$1" + _CUT)
-    found = F.transform(
-        _located(F.split(marked, _CUT)),
-        lambda s: F.struct(s["left"].alias("start"), (s["left"] + F.octet_length(s["text"])).cast("int").alias("end"), s["text"].alias("text")),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(text).cast("int").alias("end"), text.alias("text")))
+def _texts_only(found: Column, chars: bool) -> Column:
+    """``_located`` pieces as array<struct<start,end,text>> with the spans of the trimmed texts."""
+    size = F.length if chars else F.octet_length
+    return F.transform(found, lambda s: F.struct(s["left"].alias("start"), (s["left"] + size(s["text"])).cast("int").alias("end"), s["text"].alias("text")))
+
+
+def paragraph_array(text: Column, chars: bool = False) -> Column:
+    """array<struct<start,end,text>> of the paragraphs; the spans are those of the trimmed texts, in bytes (or ``chars``).  A text without any is one block."""
+    found = _texts_only(_located(_pieces(text, f"\\n[{SPACE}]*\\n"), chars), chars)
+    size = F.length(text) if chars else F.octet_length(text)
+    whole = F.array(F.struct(F.lit(0).alias("start"), size.cast("int").alias("end"), text.alias("text")))
     return F.when(text.isNotNull(), let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
 
 
 def line_array(text: Column) -> Column:
     """As ``paragraph_array`` with every line that isn't blank as a paragraph (beyond the reference)."""
-    found = _located(F.split(F.regexp_replace(text, "(\\n)", "$1" + _CUT), _CUT))
-    return F.transform(found, lambda s: F.struct(s["left"].alias("start"), (s["left"] + F.octet_length(s["text"])).cast("int").alias("end"), s["text"].alias("text")))
+    return _texts_only(_located(_pieces(text, "\\n")), False)
+
+
+def legacy_paragraph_array(text: Column) -> Column:
+    """array<struct<start,end,text>> of the archived implementation's paragraphs, in characters.
+
+    A paragraph begins with its first line that isn't blank and ends where the
+    blank line after it begins, so it holds its last line's end.  A text without
+    any is one block; an empty text has none.
+    """
+    blank = f"(?<=\\n)(?:[{SPACE_IN_LINE}]*(?:\\n|\\z))+"
+    first = F.length(text) - F.length(F.regexp_replace(text, f"\\A(?:[{SPACE_IN_LINE}]*\\n)+", ""))
+    rest = F.regexp_replace(text, f"\\A(?:[{SPACE_IN_LINE}]*\\n)+", "")
+
+    def cut(mark: Column) -> Column:
+        return F.split(F.regexp_replace(rest, F.lit(f"({blank})"), F.concat(mark, F.lit("$1"), mark)), mark)
+
+    def spans(pieces: Column) -> Column:
+        at = _running(F.transform(pieces, lambda p: F.length(p)))
+        return let(at, lambda sums: F.transform(pieces, lambda p, i: F.struct((first + F.get(sums, i)).cast("int").alias("start"), (first + F.get(sums, i + 1)).cast("int").alias("end"), trimmed(p).alias("text"))))
+
+    # the odd pieces are blank lines
+    found = F.filter(let(let(_mark(text), cut), spans), lambda s, i: (i % 2 == 0) & (F.length(s["text"]) > 0))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).cast("int").alias("end"), text.alias("text")))
+    return F.when(F.length(text) > 0, let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
 
 
 def pack(sizes: Column, target: int, most: int, breaks: Column | None = None) -> Column:
@@ -82,10 +148,10 @@ def pack(sizes: Column, target: int, most: int, breaks: Column | None = None) ->
     An item above ``most`` stands alone; others join the open block while it stays
     within ``target``.  ``breaks``: array<boolean>, whether a block has to end before an item.
     """
-    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("c"), F.lit(False).alias("o"), F.expr("cast(array() as array<int>)").alias("ids"))
-    cut = lambda n, i: F.struct(n.alias("n"), F.lit(False).alias("cut"))
+    none, nones = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<array<int>>)")
+    state = lambda b, c, o, ids: F.struct(b.alias("b"), c.alias("c"), o.alias("o"), ids.alias("ids"))
     if breaks is None:
-        items = F.transform(sizes, cut)
+        items = F.transform(sizes, lambda n: F.struct(n.alias("n"), F.lit(False).alias("cut")))
     else:
         items = F.zip_with(sizes, breaks, lambda n, c: F.struct(n.alias("n"), c.alias("cut")))
 
@@ -94,9 +160,13 @@ def pack(sizes: Column, target: int, most: int, breaks: Column | None = None) ->
         joins = s["o"] & ~alone & ~x["cut"] & ((s["c"] + x["n"] <= target) | (s["c"] == 0))
         b = F.when(joins, s["b"]).otherwise(s["b"] + 1)
         c = F.when(alone, F.lit(0)).when(joins, s["c"] + x["n"]).otherwise(x["n"])
-        return F.struct(b.alias("b"), c.alias("c"), (~alone).alias("o"), F.array_append(s["ids"], b).alias("ids"))
+        return state(b, c, ~alone, F.array_append(s["ids"], b))
 
-    return F.aggregate(items, start, step, lambda s: s["ids"])
+    def part(s: Column, items: Column) -> Column:
+        done = F.aggregate(items, state(s["b"], s["c"], s["o"], none), step)
+        return let(done, lambda d: state(d["b"], d["c"], d["o"], F.array_append(s["ids"], d["ids"])))
+
+    return F.aggregate(_parts(items), state(F.lit(-1), F.lit(0), F.lit(False), nones), part, lambda s: F.flatten(s["ids"]))
 
 
 def grouped(ids: Column) -> Column:
@@ -109,19 +179,43 @@ def grouped(ids: Column) -> Column:
     return let(ids, runs)
 
 
-def sentence_block_array(sentences: Column, target: int = 200, most: int = 300, breaks: Column | None = None) -> Column:
-    """array<struct<start,end,text,sentence_count>> of packed sentences."""
-    def blocks(sentences: Column) -> Column:
+def packed_array(items: Column, target: int, most: int, between: str, count: str) -> Column:
+    """array<struct<start,end,text,``count``>> of packed pieces of text, their texts joined by ``between``."""
+    def blocks(items: Column) -> Column:
         def block(r: Column) -> Column:
-            part = F.slice(sentences, r["first"], r["count"])
+            part = F.slice(items, r["first"], r["count"])
             return F.struct(
-                F.element_at(sentences, r["first"])["start"].alias("start"), F.element_at(sentences, r["first"] + r["count"] - 1)["end"].alias("end"),
-                F.array_join(F.transform(part, lambda s: s["text"]), " ").alias("text"), r["count"].alias("sentence_count"),
+                F.element_at(items, r["first"])["start"].alias("start"), F.element_at(items, r["first"] + r["count"] - 1)["end"].alias("end"),
+                F.array_join(F.transform(part, lambda s: s["text"]), between).alias("text"), r["count"].alias(count),
             )
 
-        return F.transform(grouped(pack(F.transform(sentences, lambda s: F.length(s["text"])), target, most, breaks)), block)
+        return F.transform(grouped(pack(F.transform(items, lambda s: F.length(s["text"])), target, most)), block)
 
-    return let(sentences, blocks)
+    return let(items, blocks)
+
+
+def sentence_block_array(sentences: Column, target: int = 200, most: int = 300) -> Column:
+    """array<struct<start,end,text,sentence_count>> of packed sentences."""
+    return packed_array(sentences, target, most, " ", "sentence_count")
+
+
+def span_block_array(text: Column, spans: Column, target: int = 200, most: int = 300) -> Column:
+    """array<struct<start,end,text,sentence_count>> of packed spans (``start, end`` in bytes, ``cut``: whether a block ends before).
+
+    Sizes and texts are slices of the original text, white space kept; empty spans count nothing.
+    """
+    def blocks(raw: Column, spans: Column) -> Column:
+        inside = lambda a, b: F.decode(F.substring(raw, a + 1, F.greatest(F.lit(0), b - a)), "UTF-8")
+
+        def block(spans: Column, r: Column) -> Column:
+            a, b = F.element_at(spans, r["first"])["start"], F.element_at(spans, r["first"] + r["count"] - 1)["end"]
+            return F.struct(a.alias("start"), b.alias("end"), inside(a, b).alias("text"), r["count"].alias("sentence_count"))
+
+        sized = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["cut"].alias("cut"), F.length(inside(s["start"], s["end"])).alias("n")))
+        some = F.filter(sized, lambda s: s["n"] > 0)
+        return let(some, lambda x: F.transform(grouped(pack(F.transform(x, lambda s: s["n"]), target, most, F.transform(x, lambda s: s["cut"]))), lambda r: block(x, r)))
+
+    return let(F.encode(text, "UTF-8"), lambda raw: let(spans, lambda s: blocks(raw, s)))
 
 
 def exploded(docs: DataFrame, items: Column, index: str = "block_index") -> DataFrame:
@@ -146,29 +240,64 @@ def sentence_blocks(docs: DataFrame, target: int = 200, most: int = 300) -> Data
     return exploded(with_sentences, sentence_block_array(F.col("s"), target, most))
 
 
+def paragraph_packs(docs: DataFrame, target: int = 500, most: int = 1000) -> DataFrame:
+    """``doc_id, block_index, start, end, text, paragraph_count``: paragraphs packed as the segmentation service does."""
+    with_paragraphs = docs.select("doc_id", paragraph_array(F.col("text")).alias("p"))
+    return exploded(with_paragraphs, packed_array(F.col("p"), target, most, "\n\n", "paragraph_count"))
+
+
+def legacy_paragraph_blocks(docs: DataFrame) -> DataFrame:
+    """``doc_id, block_index, start, end, text``, offsets in characters."""
+    return exploded(docs, legacy_paragraph_array(F.col("text")))
+
+
+def paragraph_sentences(text: Column, paragraphs: Column) -> Column:
+    """array<struct<start,end,cut>>: sentences of each of ``paragraphs`` (spans in bytes, with their texts); none crosses a paragraph.
+
+    ``cut`` marks the first sentence of a paragraph whose gap to the one before holds text.
+    """
+    def of(raw: Column, paragraphs: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(paragraphs, F.greatest(i - 1, F.lit(0)))["end"])
+            between = F.decode(F.substring(raw, before + 1, F.greatest(F.lit(0), p["start"] - before)), "UTF-8")
+            broken = F.coalesce(between.rlike(f"[^{SPACE}]"), F.lit(False))
+            found = sentence_array(p["text"])
+            return F.transform(found, lambda s, k: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end"), ((k == 0) & broken).alias("cut")))
+
+        return F.flatten(F.transform(paragraphs, one))
+
+    return let(F.encode(text, "UTF-8"), lambda raw: let(paragraphs, lambda ps: of(raw, ps)))
+
+
 def sentence_blocks_in(kept: DataFrame, target: int = 200, most: int = 300) -> DataFrame:
-    """Sentence blocks within kept paragraphs (``doc_id, text`` of the document, ``paragraphs`` array of kept spans).
+    """Sentence blocks within kept paragraphs (``doc_id, text`` of the document, ``paragraphs`` array of kept spans with their texts).
 
     Sentences never cross a paragraph; a block never crosses a gap that holds text.
     """
-    doc = F.col("text")
+    spans = kept.select("doc_id", "text", paragraph_sentences(F.col("text"), F.col("paragraphs")).alias("s"))
+    return exploded(spans, span_block_array(F.col("text"), F.col("s"), target, most))
 
-    def of(p: Column, i: Column) -> Column:
-        before = F.get(F.col("paragraphs"), i - 1)
-        gap = F.encode(doc, "UTF-8")
-        between = F.decode(F.substring(gap, before["end"] + 1, F.greatest(F.lit(0), p["start"] - before["end"])), "UTF-8")
-        broken = (i > 0) & between.rlike(f"[^{SPACE}]")
-        return F.transform(
-            sentence_array(p["text"]),
-            lambda s, k: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end"), s["left"].alias("left"), s["text"].alias("text"), ((k == 0) & broken).alias("cut")),
-        )
 
-    found = kept.select("doc_id", F.flatten(F.transform("paragraphs", of)).alias("s"))
-    return exploded(found, sentence_block_array(F.col("s"), target, most, F.transform("s", lambda s: s["cut"])))
+def sentence_blocks_smart(docs: DataFrame, spans: str | None = None, merges: str | None = None, target: int = 200, most: int = 300) -> DataFrame:
+    """Sentence blocks by the best splitter at hand.
+
+    ``spans``: a column of spans from a segmentation service (array<struct<start,end>>, bytes); where it is
+    null or empty the rules here split.  ``merges``: a column of sentence numbers that a judge wants joined
+    with the next one.  Texts without any sentence have no block.
+    """
+    local = F.transform(sentence_array(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = local if spans is None else F.when(F.size(spans) > 0, F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))).otherwise(local)
+    if merges is not None:
+        found = merge_spans(found, F.coalesce(F.col(merges), F.expr("cast(array() as array<int>)")))
+    rows = docs.select("doc_id", "text", F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("cut"))).alias("s"))
+    return exploded(rows, span_block_array(F.col("text"), F.col("s"), target, most))
 
 
 def merge_spans(spans: Column, marked: Column) -> Column:
     """Spans merged with their next one wherever their 0-based place is in ``marked``, chaining."""
-    joins = F.transform(spans, lambda s, i: (i > 0) & F.array_contains(marked, i - 1))
-    ids = F.aggregate(joins, F.expr("cast(array() as array<int>)"), lambda ids, j: F.array_append(ids, F.when(F.size(ids) == 0, 0).otherwise(F.element_at(ids, -1) + F.when(j, 0).otherwise(1))))
-    return F.transform(grouped(ids), lambda r: F.struct(F.element_at(spans, r["first"])["start"].alias("start"), F.element_at(spans, r["first"] + r["count"] - 1)["end"].alias("end")))
+    def merged(spans: Column) -> Column:
+        opens = F.transform(spans, lambda s, i: F.when((i > 0) & F.array_contains(marked, i - 1), 0).otherwise(1))
+        ids = F.slice(_running(opens), F.lit(2), F.size(spans))
+        return F.transform(grouped(ids), lambda r: F.struct(F.element_at(spans, r["first"])["start"].alias("start"), F.element_at(spans, r["first"] + r["count"] - 1)["end"].alias("end")))
+
+    return let(spans, merged)

@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.checkpoints import cut
 from textloom.config import SENSITIVITY, EngineConfig
 from textloom.functions import text as T
-from textloom.operators import aggregate, chunk, classify, compare, features, judge, nodes, review, score, split
+from textloom.operators import aggregate, chunk, classify, compare, features, review, score, split
 from textloom.plans import pipeline, sql
-from textloom.tables import table
-
-END = {"end": "end_offset"}
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(statement: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if statement:
-            SQL[f.__name__] = statement
-        return f
-
-    return register
-
-
-def _docs(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", "text")
-
-
-def _clean(spark: SparkSession, root: str) -> DataFrame:
-    return pipeline.prepared(_docs(spark, root))
-
-
-def _r(c: str, name: str | None = None):
-    return F.round(F.col(c), 6).alias(name or c)
-
-
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    """The review log, exact duplicate rows once."""
-    return table(spark, root, "review_log").distinct()
-
+from textloom.plans.registry import END, QUERIES, SQL, clean as _clean, documents as _docs, query, review_log as _log, rounded as _r
+from textloom.tables import spread, table
 
 @query(f"select doc_id, {sql.normal('text')} as text from documents")
 def normalize_text(spark: SparkSession, root: str) -> DataFrame:
@@ -60,7 +25,7 @@ def token_stats(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"with {sql.DOCS} select doc_id, {sql.LANGUAGE} as language, coalesce(regexp_matches(lower(trim(lang)), '^(zh|ja|ko)'), false) as labelled_cjk from docs join (select doc_id, lang from documents) using (doc_id)")
 def detect_language(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").withColumn("text", T.normalized(F.col("text")))
+    docs = spread(table(spark, root, "documents").select("doc_id", "text", "lang"), "doc_id").withColumn("text", T.normalized(F.col("text")))
     return docs.select("doc_id", T.language(F.col("text")).alias("language"), T.is_cjk(F.col("lang")).alias("labelled_cjk"))
 
 
@@ -93,13 +58,15 @@ def perplexity(spark: SparkSession, root: str) -> DataFrame:
 
 
 _HELD = lambda c: f"greatest(0.1, least(0.99, {c}))"
+_SIX = lambda c: f"floor({c} * 1e6 + 0.5::double) / 1e6 as {c}"
 _READABLE = f"fluency as (select doc_id, block_index, {_HELD('1 - 0.8 * repeat_ratio')} as fluency, {_HELD('1 - avg_sentence_len / 240')} as clarity, {_HELD('1 - ngram_repeat_rate')} as cohesion from feat)"
 
 
-@query(f"{_FEATURES}, {_READABLE} select doc_id, block_index, round(fluency, 6) as fluency, round(clarity, 6) as clarity, round(cohesion, 6) as cohesion, (fluency < 0.6)::int + (clarity < 0.6)::int + (cohesion < 0.6)::int as suggestions from fluency")
+@query(f"{_FEATURES}, {_READABLE} select doc_id, block_index, {_SIX('fluency')}, {_SIX('clarity')}, {_SIX('cohesion')}, (fluency < 0.6)::int + (clarity < 0.6)::int + (cohesion < 0.6)::int as suggestions from fluency")
 def readability(spark: SparkSession, root: str) -> DataFrame:
     rows = features.readability(features.stylometry(split.paragraph_blocks(_clean(spark, root))))
-    return rows.select("doc_id", "block_index", _r("fluency"), _r("clarity"), _r("cohesion"), F.size("suggestions").alias("suggestions"))
+    six = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+    return rows.select("doc_id", "block_index", six("fluency"), six("clarity"), six("cohesion"), F.size("suggestions").alias("suggestions"))
 
 
 @query(
@@ -133,8 +100,6 @@ def aggregate_document(spark: SparkSession, root: str) -> DataFrame:
     + " union all ".join(f"select doc_id, '{s}' as sensitivity, {sql.overall('overall_p', 'unc', 'supported', s)} as decision from agg_{s}" for s in SENSITIVITY)
 )
 def sensitivity_sweep(spark: SparkSession, root: str) -> DataFrame:
-    from textloom.checkpoints import cut
-
     keep = ["doc_id", "chunk_id", "start", "end", "raw_probability", "confidence", "uncertainty", "content_strength", "human_strength"]
     base = cut(pipeline.segments(_clean(spark, root)).select(*keep))
     parts = [aggregate.aggregated(aggregate.segment_decision(base, s), s).select("doc_id", F.lit(s).alias("sensitivity"), "decision") for s in SENSITIVITY]
@@ -165,18 +130,11 @@ def dual_mode(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"{_DUAL} select doc_id, pid as paragraph_id, sid as sentence_id, floor(diff * 10000 + 0.5) / 10000 as diff, o::bigint as overlap from pairs where diff > 0.2")
 def divergent_regions(spark: SparkSession, root: str) -> DataFrame:
-    from textloom.checkpoints import cut
-
-    clean = _clean(spark, root)
-    p, s = (cut(pipeline.segments(clean, m).select("doc_id", "chunk_id", "start", "end", "raw_probability")) for m in ("paragraph", "sentence"))
-    pairs = compare.matched(p, s)
-    far = compare.divergent(pairs, clean)
-    return far.join(pairs.select("doc_id", "paragraph_id", "sentence_id", "overlap"), ["doc_id", "paragraph_id", "sentence_id"]).select("doc_id", "paragraph_id", "sentence_id", "diff", "overlap")
-
-
-@query()
-def contrast_sharpen(spark: SparkSession, root: str) -> DataFrame:
-    return aggregate.sharpened(pipeline.segments(_clean(spark, root))).select("doc_id", "chunk_id", _r("raw_probability"), _r("sharpened"))
+    docs = _clean(spark, root)
+    numbers = pipeline.both_views(docs)
+    pairs = compare.matched(*(numbers.where(F.col("mode") == m) for m in ("paragraph", "sentence")))
+    far = compare.divergent(pairs, docs)
+    return far.select("doc_id", "paragraph_id", "sentence_id", "diff", "overlap")
 
 
 _STEP = """greatest(0.02, least(0.98, s4 + case when ttr < 0.58 then 0.18 when ttr > 0.80 then -0.16 when ttr > 0.75 then -0.10 else 0 end + case when repeat_ratio > 0.30 then 0.16 when repeat_ratio > 0.20 then 0.10 else 0 end
@@ -256,35 +214,6 @@ def history_latest(spark: SparkSession, root: str) -> DataFrame:
     return review.latest(_log(spark, root).groupBy("request_id").agg(F.max("ts").alias("ts")))
 
 
-def _nodes(spark: SparkSession, root: str) -> DataFrame:
-    return nodes.structured_nodes(_clean(spark, root))
-
-
-@query()
-def structured_nodes(spark: SparkSession, root: str) -> DataFrame:
-    return _nodes(spark, root).withColumnsRenamed(END)
-
-
-def _char_blocks(spark: SparkSession, root: str) -> DataFrame:
-    clean = _clean(spark, root)
-    blocks = split.paragraph_blocks(clean).join(clean.select("doc_id", F.encode("text", "UTF-8").alias("raw")), "doc_id")
-    chars = lambda n: F.length(F.decode(F.substring("raw", F.lit(1), F.col(n)), "UTF-8"))
-    return blocks.select("doc_id", F.col("block_index").alias("chunk_id"), chars("start").alias("start"), chars("end").alias("end"))
-
-
-@query()
-def node_mapping(spark: SparkSession, root: str) -> DataFrame:
-    return compare.primary_nodes(compare.mapped(_char_blocks(spark, root), _nodes(spark, root)))
-
-
-@query()
-def unmapped_nodes(spark: SparkSession, root: str) -> DataFrame:
-    from textloom.checkpoints import cut
-
-    segments, found = cut(_char_blocks(spark, root)), cut(_nodes(spark, root).drop("text"))
-    return compare.unmapped(segments, found, compare.mapped(segments, found))
-
-
 @query(f"with {sql.DOCS}, {sql.PARAGRAPHS} select doc_id, block_index, left(lag(text) over (partition by doc_id order by block_index), 600) as previous_text, left(lead(text) over (partition by doc_id order by block_index), 600) as next_text from blocks")
 def neighbor_context(spark: SparkSession, root: str) -> DataFrame:
     return classify.neighbours(split.paragraph_blocks(_clean(spark, root))).select("doc_id", "block_index", "previous_text", "next_text")
@@ -320,47 +249,6 @@ def boundary_candidates(spark: SparkSession, root: str) -> DataFrame:
     return classify.boundary_candidates(split.sentences(_clean(spark, root)))
 
 
-def _judgments(segments: DataFrame) -> DataFrame:
-    """A table of judgments made up from the keys, as an outside judge would leave it: some segments have none."""
-    k = F.col("doc_id") * 7 + F.col("chunk_id") * 3
-    signals = F.format_string('[{"id":"template_like","score":%.2f,"evidence":""},{"id":"human_detail","score":-%.2f,"evidence":""}]', (k % 11) / 10, (k % 7) / 10)
-    text = F.format_string('Answer: {"probability":%.2f,"confidence":%.2f,"signals":%s}', (k % 100) / 100, 0.5 + (k % 40) / 100, signals)
-    return segments.where(k % 5 != 0).select("doc_id", "chunk_id", text.alias("response_json"))
-
-
-_JUDGED = f"""{_SEGMENTS}, j as (select *, doc_id * 7 + block_index * 3 as k from seg), j1 as (select *, k % 5 <> 0 as has, round((k % 100) / 100, 2) as llm, round(0.5 + (k % 40) / 100, 2) as c0, least(1.0, round((k % 11) / 10, 2)) as s1, -round((k % 7) / 10, 2) as s2 from j),
- j2 as (select *, 1 / (1 + exp(-greatest(-3, least(3, 1.0 * s1 + 1.0 * s2)))) as e from j1), j3 as (select *, llm * (1 - (0.2 + 0.4 * abs(llm - e))) + e * (0.2 + 0.4 * abs(llm - e)) as a, c0 * (0.6 + 0.4 * (1 - abs(llm - e))) as c from j2),
- j4 as (select *, greatest(abs(a - p), 0.8 * abs(a - e)) as kf from j3), j5 as (select *, greatest(0.15, least(0.62, 0.27 + 0.45 * c + 0.15 * least(chars / 1200, 1) - 0.75 * kf)) as w from j4)"""
-
-
-@query(f"{_JUDGED} select doc_id, block_index as chunk_id, round(case when has then greatest(0.02, least(0.98, w * a + (1 - w) * p)) else p end, 6) as fused_probability, round(case when has then greatest(0, least(1, (0.55 * c + 0.45 * confidence) * (1 - 0.35 * kf))) else confidence end, 6) as fused_confidence, round(case when has then least(1, 1 - c + 0.35 * abs(a - e)) else uncertainty end, 6) as fused_uncertainty from j5")
-def evidence_fusion(spark: SparkSession, root: str) -> DataFrame:
-    segments = pipeline.segments(_clean(spark, root))
-    rows = judge.fused(segments, _judgments(segments.select("doc_id", "chunk_id")))
-    return rows.select("doc_id", "chunk_id", _r("fused_probability"), _r("fused_confidence"), _r("fused_uncertainty"))
-
-
-@query(f"{_SEGMENTS}, j as (select doc_id, block_index, p, ((doc_id * 7 + block_index * 3) % 100) / 100 as llm from seg), v as (select *, var_pop(llm) over (partition by doc_id) as vl, var_pop(p) over (partition by doc_id) as vp from j) select doc_id, block_index as chunk_id, round(case when vl >= 1e-4 then greatest(0.2, least(0.55, 0.3 + 0.25 * vl / greatest(vl + vp, 1e-9))) * llm + (1 - greatest(0.2, least(0.55, 0.3 + 0.25 * vl / greatest(vl + vp, 1e-9)))) * p else p end, 6) as fused_probability from v")
-def adaptive_fusion(spark: SparkSession, root: str) -> DataFrame:
-    segments = pipeline.segments(_clean(spark, root)).withColumn("llm_probability", ((F.col("doc_id") * 7 + F.col("chunk_id") * 3) % 100) / 100)
-    return judge.adaptively_fused(segments).select("doc_id", "chunk_id", _r("fused_probability"))
-
-
-@query()
-def token_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunk.token_chunks(split.paragraph_blocks(_clean(spark, root))).withColumnsRenamed(END)
-
-
-@query()
-def split_long(spark: SparkSession, root: str) -> DataFrame:
-    return chunk.split_long(split.paragraph_blocks(_clean(spark, root)).withColumnRenamed("block_index", "chunk_id"))
-
-
-@query()
-def merged_titles(spark: SparkSession, root: str) -> DataFrame:
-    return chunk.merge_titles(split.paragraph_blocks(_clean(spark, root))).withColumnsRenamed(END)
-
-
 @query(f"with {sql.DOCS} select count(*) as documents, sum({_EST})::bigint as tokens, max({_EST})::bigint as most_tokens from docs where text is not null")
 def cost_summary(spark: SparkSession, root: str) -> DataFrame:
     return aggregate.cost_summary(_clean(spark, root).where("text is not null"), T.token_estimate(F.col("text")).cast("bigint"))

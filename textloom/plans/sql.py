@@ -27,12 +27,12 @@ DOCS = f"docs as (select doc_id, {normal('text')} as text from documents)"
 PARAGRAPHS = f"""
 raw_p as (select doc_id, string_split(regexp_replace(text, '(\\n[{WS}]*\\n)', '\\1' || chr(1), 'g'), chr(1)) as ps from docs where text is not null),
 pos_p as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from raw_p),
-off_p as (select doc_id, i, p, sum(strlen(p)) over (partition by doc_id order by i) - strlen(p) as s from pos_p),
-tri_p as (select doc_id, i, s + strlen(p) - strlen(regexp_replace(p, '^[{WS}]+', '')) as start, {trim('p')} as text from off_p),
-some_p as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as block_index, start, start + strlen(text) as end_offset, text from tri_p where length(text) > 0),
+off_p as (select doc_id, i, p, sum(strlen(p)) over (partition by doc_id order by i) - strlen(p) as s, sum(length(p)) over (partition by doc_id order by i) - length(p) as c from pos_p),
+tri_p as (select doc_id, i, s + strlen(p) - strlen(regexp_replace(p, '^[{WS}]+', '')) as start, c + length(p) - length(regexp_replace(p, '^[{WS}]+', '')) as char_start, {trim('p')} as text from off_p),
+some_p as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as block_index, start, start + strlen(text) as end_offset, text, char_start from tri_p where length(text) > 0),
 blocks as (
-  select doc_id, block_index, start, end_offset, text from some_p
-  union all select doc_id, 0, 0, strlen(text), text from docs where text is not null and doc_id not in (select doc_id from some_p)
+  select doc_id, block_index, start, end_offset, text, char_start from some_p
+  union all select doc_id, 0, 0, strlen(text), text, 0 from docs where text is not null and doc_id not in (select doc_id from some_p)
 )"""
 _Q = "\"“”''‘’"
 
@@ -66,7 +66,7 @@ def features(source: str, keys: str, name: str = "feat") -> str:
     coalesce(g.v / g.n, 0) as ttr, case when g.n is null then 0 else coalesce(l.m, length(t.text)) end as avg_sentence_len, coalesce(g.fw / g.n, 0) as function_word_ratio,
     case when g.n is null then 0 else len(regexp_extract_all(t.text, '[，。！？.!?]')) / length(t.text) end as punctuation_ratio, coalesce(g.r / g.v, 0) as repeat_ratio,
     case when coalesce(g.n, 0) < 4 then 0 else 1 - len(list_distinct(list_transform(range(1, g.n - 1), lambda i: toks[i] || chr(1) || toks[i + 1] || chr(1) || toks[i + 2]))) / (g.n - 2) end as ngram_repeat_rate,
-    case when g.n is null then 120 else floor(greatest(20, least(300, (20 + least((exp(g.h) - 1) * 22.5, 280) + 120 - 60 * g.v / g.n + length(t.text) / 500) / 2)) * 100 + 0.5 + 1e-7) / 100 end as ppl
+    case when g.n is null then 120 else floor(greatest(20, least(300, 0.5::double * (20 + least((exp(g.h) - 1) * 22.5::double, 280)) + 0.5::double * (120 - g.v / g.n * 60 + length(t.text) / 500))) * 100 + 0.5::double) / 100 end as ppl
   from {name}_t t left join {name}_g g using ({keys}) left join {name}_l l using ({keys})
 )"""
 
@@ -128,3 +128,43 @@ walk as (
   from walk w join sized s on s.doc_id = w.doc_id and s.k = w.k + 1
 ),
 packed as (select s.doc_id, w.blk as block_index, min(s.start) as start, max(s.end_offset) as end_offset, string_agg(s.text, ' ' order by s.k) as text, count(*) as sentence_count from sized s join walk w using (doc_id, k) group by 1, 2)"""
+
+
+def _low(x: str, c: float, k: float) -> str:
+    return f"(1 / (1 + exp(({x} - {c}) / {k})))"
+
+
+def _two(a: object, b: object) -> str:
+    return f"(case when cjk then {a} else {b} end)"
+
+
+def short_logit() -> str:
+    """Log odds of the short-text score outside academic writing."""
+    low = _low
+    high = lambda x, c, k: f"(1 - {low(x, c, k)})"
+    return f"""1.0 * {low('ttr', _two(.46, .58), .08)} * {_two(.85, 1.0)} - 0.7 * {high('ttr', _two(.70, .78), .06)} + 0.8 * {high('repeat_ratio', _two(.26, .18), _two(.07, .06))} * {_two(.75, 1.0)}
+ + 0.9 * {high('ngram_repeat_rate', _two(.14, .10), _two(.05, .04))} * {_two(.75, 1.0)} + 0.25 * {low('avg_sentence_len', _two(22.0, 35.0), _two(8.0, 10.0))} * {_two(.85, 1.0)} + 0.3 * {high('avg_sentence_len', _two(90.0, 120.0), _two(22.0, 25.0))} * {_two(.85, 1.0)}"""
+
+
+_CITED = r"(\[[0-9]{1,3}\])|(\([A-Za-z][A-Za-z" + WS + r".-]+,[" + WS + r"]*[0-9]{4}[a-z]?\))"
+_SECTIONS = "(?m)^(摘要|引言|绪论|方法|结果|讨论|结论|致谢|参考文献|Abstract|Introduction|Methods?|Results?|Discussion|Conclusion|Acknowledg(e)?ments?|References?)"
+_FIGURES = r"(?i)(图[" + WS + r"]?[0-9]+|表[" + WS + r"]?[0-9]+|figure[" + WS + r"]?[0-9]+|table[" + WS + r"]?[0-9]+|equation[" + WS + r"]?\(?[0-9]+\)?)"
+
+
+def academic_scored(source: str, *keys: str) -> str:
+    """A CTE ``ac``: ``p0, p6, p1``, the score at academic strengths 0, 0.6 and 1, and ``anchors``; needs ``lang``."""
+    low = _low
+    high = lambda x, c, k: f"(1 - {low(x, c, k)})"
+    machine = f"{low('ttr', .55, .05)} * {low('ppl', 90, 15)} * ({high('repeat_ratio', .15, .04)} + {high('ngram_repeat_rate', .10, .03)}) / 2"
+    human = f"{high('ttr', .70, .05)} * {high('ppl', 170, 25)} * {low('repeat_ratio', .15, .04)} * {high('avg_sentence_len', 25, 8)}"
+
+    def p(a: float) -> str:
+        z = f"""1.2 * {low('ttr', _two(.46, .58), .08)} * {_two(.85, 1.0)} * (1 - 0.3 * {a}) - 0.9 * {high('ttr', _two(.70, .78), .06)}
+ + {high('repeat_ratio', _two(.26, .18), _two(.07, .06))} * {_two(.75, 1.0)} * (1 - 0.4 * {a}) + 1.1 * {high('ngram_repeat_rate', _two(.14, .10), _two(.05, .04))} * {_two(.75, 1.0)} * (1 - 0.4 * {a})
+ + 0.3 * {low('avg_sentence_len', _two(22.0, 35.0), _two(8.0, 10.0))} * {_two(.85, 1.0)} + 0.4 * {high('avg_sentence_len', _two(90.0, 120.0), _two(22.0, 25.0))} * {_two(.85, 1.0)}
+ + {low('ppl', _two(75.0, 85.0), _two(18.0, 20.0))} * {_two(.85, 1.0)} * (1 - 0.4 * {a}) - 0.6 * {high('ppl', _two(180.0, 200.0), _two(28.0, 30.0))}
+ + case when machine > 0.3 then machine * 1.5 * {_two(.9, 1.0)} * (1 - 0.35 * {a}) else 0 end - case when human > 0.3 then human * 1.2 else 0 end - 0.45 * {a} * anchors"""
+        return f"greatest(0.02, least(0.98, 1 / (1 + exp(-({z})))))"
+
+    anchors = f"""least(1.0, case when regexp_matches(text, '{_CITED}') or contains(text, 'et al.') or contains(text, 'DOI') or contains(text, 'doi') then 0.4 else 0 end + case when regexp_matches(text, '{_SECTIONS}') then 0.3 else 0 end + case when regexp_matches(text, '{_FIGURES}') then 0.3 else 0 end)"""
+    return f"ac0 as (select *, {machine} as machine, {human} as human, {anchors}::double as anchors from {source} join lang using (doc_id)), ac as (select {', '.join(keys)}, anchors, {p(0.0)} as p0, {p(0.6)} as p6, {p(1.0)} as p1 from ac0)"

@@ -2,6 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes below which a table is spread over all cores.
+SMALL = 32 << 20
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` under ``root``; one Parquet file or a folder of them."""
@@ -9,10 +12,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` over all cores, by ``key``, where their files are fewer than the cores; else as they are read.
+    """``rows`` of a table of less than SMALL bytes over all cores, by ``key``; those of a larger one as they are read.
 
-    A file of one row group is one task, so a small table would hold up work on
-    its texts; a large one has files enough and isn't shuffled.
+    A small table may be one row group, and so one task.  What is shuffled never
+    exceeds SMALL bytes on disk; the planner's own estimate is used, so no files are listed for it.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows._jdf.inputFiles()) < cores else rows
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL else rows
