@@ -1,9 +1,11 @@
 """Statistics of paragraphs and documents, and what they are: prose, list, table or junk (problem 1).
 
 Method: a text is taken apart into runs of lines of one shape.  Each run,
-whatever its shape, gets basic counts and the Jensen-Shannon divergence of its function-word and
-character-class distributions from the prose profile of the language nearest to
-it, and is assigned the nearest structural profile.  A text is of the kind that
+whatever its shape, gets basic counts and the Jensen-Shannon divergences of its
+function-word and its character-class distribution from the prose profile of the
+language nearest to it, and is assigned the nearest structural profile in the
+space of all of them; machine output, word salad and symbols are told from prose
+by the divergences alone.  A text is of the kind that
 more than half of its characters belong to, otherwise prose.
 """
 
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -26,41 +28,58 @@ KINDS = ("prose", "list", "table", "junk")
 CLASSES = (0.80, 0.01, 0.15, 0.025, 0.015)
 CLASSES_UNSPACED = (0.90, 0.01, 0.005, 0.08, 0.005)
 
-#: Structural profiles (fixed values): share of marked lines, of lines in columns,
-#: of machine-written lines, of short lines without a stop, symbols, repetition, divergence.
+#: Structural profiles in the space of _POINT (fixed values, rounded from medians of runs of each kind).
 PROFILES: list[tuple[str, tuple[float, ...]]] = [
-    ("prose", (0.0, 0.0, 0.0, 0.0, 0.05, 0.0, 0.30)),
-    ("prose", (0.0, 0.0, 0.0, 0.0, 0.25, 0.1, 0.45)),
-    ("list", (1.0, 0.0, 0.0, 0.3, 0.10, 0.1, 0.55)),
-    ("list", (0.0, 0.0, 0.0, 1.0, 0.05, 0.2, 0.55)),
-    ("table", (0.0, 1.0, 0.0, 0.5, 0.20, 0.1, 0.75)),
-    ("junk", (0.0, 0.0, 1.0, 0.3, 0.20, 0.1, 0.85)),
-    ("junk", (0.0, 0.0, 0.0, 0.0, 0.55, 0.1, 0.95)),
-    ("junk", (0.0, 0.0, 0.0, 0.0, 0.05, 1.0, 0.80)),
-    ("junk", (0.0, 0.0, 0.0, 0.0, 0.03, 0.0, 1.00)),
-    ("list", (1.0, 0.0, 0.0, 0.3, 0.10, 1.0, 0.45)),
-    ("list", (0.0, 0.0, 0.0, 1.0, 0.05, 1.0, 0.45)),
-    ("junk", (1.0, 0.0, 0.0, 0.3, 0.10, 1.0, 0.90)),
-    ("junk", (0.0, 0.0, 0.0, 1.0, 0.05, 1.0, 0.90)),
+    ("prose", (0.0, 0.0, 0.0, 0.08, 0.01, 0.0, 0.0, 1.0)),
+    ("prose", (0.0, 0.0, 0.0, 0.20, 0.10, 0.2, 0.1, 1.0)),
+    ("list", (1.0, 0.0, 0.0, 0.33, 0.05, 0.1, 0.1, 0.3)),
+    ("list", (1.0, 0.0, 0.0, 0.33, 0.05, 0.1, 1.0, 0.3)),
+    ("list", (0.0, 0.0, 1.0, 0.60, 0.05, 0.05, 0.2, 0.3)),
+    ("list", (0.0, 0.0, 1.0, 0.33, 0.05, 0.05, 1.0, 0.3)),
+    ("table", (0.0, 1.0, 0.0, 0.20, 0.15, 0.1, 0.0, 0.1)),
+    ("table", (0.0, 1.0, 0.0, 0.50, 0.25, 0.1, 0.0, 0.1)),
+    ("table", (0.0, 1.0, 0.0, 0.80, 0.36, 0.15, 0.0, 0.1)),
+    ("list", (0.0, 1.0, 0.0, 0.50, 0.03, 0.05, 0.0, 0.1)),
+    ("junk", (0.0, 1.0, 0.0, 0.72, 0.25, 0.38, 0.0, 0.3)),
+    ("junk", (0.0, 0.0, 0.0, 0.65, 0.34, 0.1, 0.0, 0.0)),
+    ("junk", (0.0, 0.0, 0.0, 0.60, 0.11, 0.1, 0.0, 0.0)),
+    ("junk", (0.0, 0.0, 0.0, 1.0, 0.10, 0.05, 0.0, 0.0)),
+    ("junk", (0.0, 0.0, 0.0, 1.0, 0.50, 0.5, 0.1, 0.3)),
+    ("junk", (0.0, 0.0, 0.0, 1.0, 0.10, 0.05, 1.0, 0.0)),
+    ("junk", (0.0, 0.0, 1.0, 0.80, 0.34, 0.1, 0.0, 0.0)),
+    ("junk", (1.0, 0.0, 0.0, 1.0, 0.10, 0.1, 1.0, 0.0)),
+    ("junk", (0.0, 0.0, 1.0, 1.0, 0.10, 0.05, 1.0, 0.0)),
 ]
+#: Coordinates of a run: shares of marked lines, of lines in columns and of short lines without a stop; divergence
+#: of its function words (as a part of a text's without any) and of its character classes; symbols; repetition;
+#: sentence ends (1 where there are as many as in prose).  And their weights.
+_POINT = ("marked", "columns", "short", "words", "classes", "symbols", "repetition", "ends")
+WEIGHTS = (1.5, 1.5, 1.2, 2.0, 4.0, 1.5, 1.5, 0.6)
+#: Words a sentence of prose has at most, as a rule.
+LONG_SENTENCE = 40
 #: Occurrences a cell of function words must be expected to have.
 LEAST_EXPECTED = 5
-WEIGHTS = (2.0, 2.0, 2.0, 1.5, 1.5, 1.5, 2.0)
+#: Words below which the function words of a run say little.
+FEW_WORDS = 12
 
+_LINE_END = re.compile(r"\r\n?")
+_LEADERS = re.compile(r"(?:\.\s?){4,}|…{2,}")
+_TOKENS = re.compile(r"[^\W_]+(?:[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]+[^\W_]*)*")
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]+[^\W\d_]*)*")
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
 _STOPS = ".!?。！？…।؟．"
 _STOP = re.compile(r"[.!?。！？…।؟．][\"'”’»」』）)\]]*\s*$")
 _SENTENCE = re.compile(r"[.!?。！？…।؟．]+(?=\s|$|[^\x00-\x7f])")
+_ENDS = re.compile(r"(?<=[\w)\]}”»’\"'])[.!?。！？…।؟．]+(?=\s|$|[^\x00-\x7f])")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _MARKED = re.compile(
-    r"\s*(?:\\(?:bib)?item\b|@\w+\{|[^\w\s\"'“«„(¿¡$\\<{#%!?.,;:]\s+\S|o\s+\S|\[[ xX✓]\]\s|\[\d{1,3}\]\s|\(?\d{1,3}[.)]\s+\S|\(?[a-zA-Z]\)\s+\S|\(?[ivx]{1,4}[.)]\s+\S"
+    r"\s*(?:\\(?:bib)?item\b|@\w+\{|[^\w\s\"'“«„(¿¡$\\<{#%!?.,;:)\]}|]\s+\S|o\s+\S|\[[ xX✓]\]\s|\[\d{1,3}\]\s|\(?\d{1,3}[.)]\s+\S|\(?[a-zA-Z]\)\s+\S|\(?[ivx]{1,4}[.)]\s+\S"
     r"|\d+(?:\.\d+)+\s+\S.*\s\d{1,4}\s*$|\\(?:contentsline|tableofcontents)\b)"
 )
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d*\s*$")
 _RULE = re.compile(r"^(?=.*[-=─═])(?=.*[+|¦┼:])[\s+|¦=:─-╿-]{4,}$|^\s*\\(?:hline|toprule|midrule|bottomrule|cline)\b")
 _PUNCTUATION = re.compile("[.,;:!?。，、！？；：'\"’“”।]")
-_DIGITS = re.compile("[0-9]")
+_DIGITS = re.compile("[0-9０-９]")
 _SPACE = re.compile(r"\s+")
 _SYMBOL = re.compile(r"[!-%'-*:-@\[-^`{}~]")
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff]")
@@ -68,11 +87,6 @@ _DELIMITER = re.compile(r"[|¦\t&;]")
 #: Three and more separators in a row without a space after them.
 _FIELDS = re.compile(r"^[^\s,;]*[,;][^\s,;]*[,;]\S*$|[^\s;]*;[^\s;]*;[^\s;]*;|[^\s,]*,(?=\S)[^\s,]*,[^\s,]*,|(?:[^;\n]{0,24};(?! )){3}")
 _WIDE_GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_MACHINE = re.compile(
-    r"(?:[0-9a-fA-F]{4,8}[:\s]\s*)?(?:[0-9a-fA-F]{2}\s){5,}|[A-Za-z0-9+/=_-]{36,}$|\[?\d{0,4}[-/.]?\d{0,2}[-/.]?\d{0,2}[T ]?\d{1,2}:\d{2}:\d{2}"
-    r"|(?:Over|Under)full \\[hv]box|! \S+ l\.\d+|\(\./|\]? ?\[\d+\] \(?/|\s*at [\w.$]+\(|(?:GET|POST|HTTP)\b"
-)
-_LOGGED = re.compile(r"\b(?:ERR|WARN|WARNING|INFO|DEBUG|ERROR|FATAL|TRACE|dbg)\b.*(?:0x|=|:)")
 _NEUTRAL = re.compile(r"^\s*\\(?:begin|end|section|subsection|subsubsection|paragraph|chapter|label|includegraphics|centering|maketitle|title|author|caption|vspace|hspace|noindent|newpage|clearpage|bibliography|bibliographystyle|appendix|input|include)\b\*?")
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{(\w+)\*?\}")
 _LISTS = frozenset(["itemize", "enumerate", "description", "thebibliography"])
@@ -87,13 +101,12 @@ for _language, _words in FUNCTION_WORDS.items():
             _LANGUAGES_OF.setdefault(_w, []).append(_language)
 
 
-def divergence(p: list[float], q: list[float]) -> float:
-    """Jensen-Shannon divergence of two distributions, base 2."""
-    total = 0.0
-    for a, b in zip(p, q, strict=True):
+def divergence(cells: Iterable[tuple[float, float]]) -> float:
+    """Jensen-Shannon divergence, base 2, of a distribution p from q; ``cells``: (p, q) where p isn't 0, q summing to 1 over all cells."""
+    total = 1.0
+    for a, b in cells:
         m = (a + b) / 2
-        if a:
-            total += a * math.log2(a / m)
+        total += a * math.log2(a / m) - b
         if b:
             total += b * math.log2(b / m)
     return max(0.0, total / 2)
@@ -123,7 +136,7 @@ def _cells(language: str, size: int) -> tuple[dict[str, int], list[float], float
         shares[-1] += last
         place = {w: min(k, len(shares) - 1) for w, k in place.items()}
     shares.append(1 - sum(shares))
-    return place, shares, divergence([*[0.0] * (len(shares) - 1), 1.0], shares)
+    return place, shares, divergence([(1.0, shares[-1])])
 
 
 def _function_words(text: str, words: list[str], unspaced: bool) -> tuple[str, float, float, float]:
@@ -150,21 +163,22 @@ def _function_words(text: str, words: list[str], unspaced: bool) -> tuple[str, f
     best = ("", 2.0, 0.0, 1.0)
     for language, counts in found.items():
         place, shares, none = _cells(language, size)
-        own = [0.0] * len(shares)
+        own: dict[int, float] = {}
         for w, k in counts.items():
-            own[place[w]] += k / n
-        share = sum(own)
-        if share > 1.0:
-            own = [x / share for x in own]
-        own[-1] = max(0.0, 1.0 - share)
-        d = divergence(own, shares)
+            own[place[w]] = own.get(place[w], 0.0) + k / n
+        share = sum(own.values())
+        part = max(1.0, share)
+        cells = [(x / part, shares[k]) for k, x in own.items()]
+        if share < 1.0:
+            cells.append((1.0 - share, shares[-1]))
+        d = divergence(cells)
         if d < best[1]:
             best = (language, d, min(1.0, share), none)
     return best
 
 
 def _line(line: str, environment: str) -> str:
-    """Shape of a line: marked, columns, machine, neutral, short (a few words without a stop) or plain."""
+    """Shape of a line: marked, columns, neutral, short (a few words without a stop) or plain."""
     if environment:
         if environment in _TABLES:
             return "columns"
@@ -182,8 +196,6 @@ def _line(line: str, environment: str) -> str:
         or (tight > 1 or bare.count(";") > 1) and _FIELDS.search(bare)
     ) and _symbols(bare) < 0.4:
         return "columns"
-    if _MACHINE.match(bare) or "=" in bare and _LOGGED.search(bare):
-        return "machine"
     if _MARKED.match(line) or (".." in bare or ". ." in bare) and _LEADER.search(bare[-60:]) or _listed(bare):
         return "marked"
     if "   " in bare and len(_WIDE_GAP.findall(bare)) > 1:
@@ -207,6 +219,11 @@ def _listed(line: str) -> bool:
     return len(line) / (n + 1) < 12 or not _UNSPACED.search(line)
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines of a text, by carriage returns and line feeds only: other separators are part of wrongly decoded text."""
+    return (_LINE_END.sub("\n", text) if "\r" in text else text).split("\n")
+
+
 def _runs(text: str) -> Iterator[tuple[str, list[str]]]:
     """Runs of lines of one shape; blank lines end a run of plain lines.
 
@@ -235,7 +252,7 @@ def _runs(text: str) -> Iterator[tuple[str, list[str]]]:
             few = []
         return out
 
-    for line in text.splitlines():
+    for line in lines_of(text):
         if not line or line.isspace():
             yield from settle()
             if shape == "plain":
@@ -261,6 +278,22 @@ def _runs(text: str) -> Iterator[tuple[str, list[str]]]:
         yield shape, lines
 
 
+_ASCII_WORDS = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+_ASCII_LETTERS, _ASCII_DIGITS, _ASCII_MARKS, _ASCII_SPACES = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:!?'\"", b" \n"
+
+
+def _counted(text: str, unspaced: bool) -> tuple[list[str], int, int, int, int]:
+    """(words, letters, digits, blanks, marks) of a text; no words where they aren't spaced.  Letters beside digits are no word of their own."""
+    if text.isascii():
+        raw = text.encode("ascii")
+        n = len(raw)
+        without = lambda chars: n - len(raw.translate(None, chars))
+        return raw.lower().translate(_ASCII_WORDS).decode("ascii").split(), without(_ASCII_LETTERS), without(_ASCII_DIGITS), without(_ASCII_SPACES), without(_ASCII_MARKS)
+    words = [] if unspaced else _TOKENS.findall(text.lower())
+    marks, digits, spaces = len(_PUNCTUATION.findall(text)), len(_DIGITS.findall(text)), text.count(" ") + text.count("\n")
+    return words, len(text) - marks - digits - spaces if unspaced else sum(map(len, words)) - digits, digits, spaces, marks
+
+
 def _assign(shape: str, lines: list[str]) -> Run:
     """The structural profile nearest to a run of lines."""
     chars = sum(map(len, lines))
@@ -272,33 +305,42 @@ def _assign(shape: str, lines: list[str]) -> Run:
             text = _FORMULA.sub(" ", text)
         if len(text) < 60 and len(lines) < 3 and len(text.split()) < 12 and not _repeated(text) and _symbols(text) < 0.4:
             return Run("heading", chars, 0.0, "")
+    elif ".." in text or "…" in text or ". ." in text:
+        text = _LEADERS.sub(" ", text)  # layout
     unspaced = not text.isascii() and 3 * len(_UNSPACED.findall(text)) > len(text)
-    words = [] if unspaced else _WORD.findall(text.lower())
     n = max(1, len(text))
-    letters = n - text.count(" ") - text.count("\n") if unspaced else sum(map(len, words))
+    words, letters, digits, spaces, marks = _counted(text, unspaced)
     language, d, _, none = _function_words(text, words, unspaced)
-    marks, digits = len(_PUNCTUATION.findall(text)), len(_DIGITS.findall(text))
-    spaces = text.count(" ") + text.count("\n")
-    if unspaced:
-        letters = n - marks - digits - spaces
     other = max(0, n - letters - marks - digits - spaces)
-    classes = divergence([letters / n, digits / n, spaces / n, marks / n, other / n], list(CLASSES_UNSPACED if unspaced else CLASSES))
+    total = letters + digits + spaces + marks + other or 1
+    classes = divergence((k / total, q) for k, q in zip((letters, digits, spaces, marks, other), CLASSES_UNSPACED if unspaced else CLASSES, strict=True) if k)
     symbols = min(1.0, (other + max(0, marks - 0.12 * n)) / n)
     repetition = _repeated(text)
-    # a text without function words is as far from prose as can be; prose of that length is well below half of that
-    apart = 0.30 + 0.5 * min(1.0, max(0.0, d / none - 0.3) / 0.5) + min(0.2, classes)
-    if shape == "plain":
+    apart, size = min(1.0, d / none), letters // 2 if unspaced else len(words)
+    # where all else is that of prose, its sentence ends decide nothing
+    ends = 1.0 if shape == "plain" and apart < 0.3 and classes < 0.05 and symbols < 0.1 and repetition < 0.1 else min(1.0, len(_ENDS.findall(text)) * LONG_SENTENCE / max(1, size))
+    if shape in ("plain", "short"):
         # a few words say little, and a wrongly decoded text counts as what it was
-        if not unspaced and len(words) < 8 and repetition < 0.5 and symbols < 0.3:
-            apart = min(apart, 0.45)
+        if shape == "plain" and size < FEW_WORDS and repetition < 0.5 and symbols < 0.3:
+            apart, classes = apart * size / FEW_WORDS, min(classes, 0.1)
         if repetition < 0.6 and len(text.encode("ascii", "ignore")) < 0.85 * n:
-            apart, symbols = min(apart, 0.5), min(symbols, 0.2)
-    point = (float(shape == "marked"), float(shape == "columns"), float(shape == "machine"), float(shape == "short"), symbols, repetition, apart)
-    return Run(_nearest(point), chars, d, language)
+            apart, classes, symbols, ends = min(apart, 0.2), min(classes, 0.1), min(symbols, 0.2), 1.0
+    return Run(_nearest((float(shape == "marked"), float(shape == "columns"), float(shape == "short"), apart, classes, symbols, repetition, ends)), chars, d, language)
+
+
+#: A profile's distance is its constant less the sum of the point's coordinates times its slopes, up to what all profiles share.
+_LINEAR = [(kind, sum(w * x * x for w, x in zip(WEIGHTS, at, strict=True)), tuple(2 * w * x for w, x in zip(WEIGHTS, at, strict=True))) for kind, at in PROFILES]
 
 
 def _nearest(point: tuple[float, ...]) -> str:
-    return min(PROFILES, key=lambda p: sum(w * (a - b) ** 2 for w, a, b in zip(WEIGHTS, point, p[1], strict=True)))[0]
+    """The kind of the profile at the least weighted squared distance."""
+    a, b, c, d, e, f, g, h = point
+    best, least = "prose", math.inf
+    for kind, constant, (p, q, r, s, t, u, v, w) in _LINEAR:
+        far = constant - a * p - b * q - c * r - d * s - e * t - f * u - g * v - h * w
+        if far < least:
+            best, least = kind, far
+    return best
 
 
 def _repeated(text: str) -> float:
@@ -364,7 +406,7 @@ def statistics(text: str | None, article: bool = False) -> tuple:
     words = _WORD.findall(inside.lower())
     n, k = len(inside) or 1, len(tokens)
     counts = Counter(tokens)
-    lines = [x for x in inside.splitlines() if x.strip()]
+    lines = [x for x in lines_of(inside) if x.strip()]
     sentences = max(1, len(_SENTENCE.findall(inside)))
     marks = sum(map(inside.count, "，。！？.!?"))
     measured = [r for r in runs if r.kind != "heading"]
