@@ -36,13 +36,15 @@ PROFILES: list[tuple[str, tuple[float, ...]]] = [
     ("list", (1.0, 0.0, 0.0, 0.33, 0.05, 0.1, 1.0, 0.3)),
     ("list", (0.0, 0.0, 1.0, 0.60, 0.05, 0.05, 0.2, 0.3)),
     ("list", (0.0, 0.0, 1.0, 0.33, 0.05, 0.05, 1.0, 0.3)),
-    ("table", (0.0, 1.0, 0.0, 0.20, 0.15, 0.1, 0.0, 0.1)),
+    ("table", (0.0, 1.0, 0.0, 0.10, 0.12, 0.1, 0.0, 0.1)),
     ("table", (0.0, 1.0, 0.0, 0.50, 0.25, 0.1, 0.0, 0.1)),
     ("table", (0.0, 1.0, 0.0, 0.80, 0.36, 0.15, 0.0, 0.1)),
+    ("list", (0.0, 1.0, 0.0, 0.10, 0.02, 0.05, 0.0, 0.1)),
     ("list", (0.0, 1.0, 0.0, 0.50, 0.03, 0.05, 0.0, 0.1)),
     ("junk", (0.0, 1.0, 0.0, 0.72, 0.25, 0.38, 0.0, 0.3)),
     ("junk", (0.0, 0.0, 0.0, 0.65, 0.34, 0.1, 0.0, 0.0)),
     ("junk", (0.0, 0.0, 0.0, 0.60, 0.11, 0.1, 0.0, 0.0)),
+    ("junk", (0.0, 0.0, 0.0, 0.60, 0.22, 0.38, 0.0, 0.5)),
     ("junk", (0.0, 0.0, 0.0, 1.0, 0.10, 0.05, 0.0, 0.0)),
     ("junk", (0.0, 0.0, 0.0, 1.0, 0.50, 0.5, 0.1, 0.3)),
     ("junk", (0.0, 0.0, 0.0, 1.0, 0.10, 0.05, 1.0, 0.0)),
