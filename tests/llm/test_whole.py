@@ -23,7 +23,7 @@ def test_divergence_of_runs_of_every_shape():
 
 # 9
 def test_junk_with_many_subject_terms_has_no_subject(spark):
-    model = subjects.Model(["law"], {"home": 0}, [], [np.zeros(len(subjects.STRUCTURE) + 4)], [1.0])
+    model = subjects.Model(["law"], {"home": 0}, [], [np.zeros(len(subjects.STRUCTURE) + 3 + len(subjects.STEPS))], [1.0])
     texts = ["home next " * 100, "The owner of the home is not in the home, as it was the home of a friend. " * 2]
     docs = spark.createDataFrame([(i, t, "", None) for i, t in enumerate(texts)], "doc_id bigint, text string, title string, source string")
     assert [(r.doc_id, r.subject) for r in subjects.subjects_of(docs, model).collect()] == [(1, "law")]
@@ -49,3 +49,46 @@ def test_constant_divergences_change_kinds(monkeypatch):
     monkeypatch.setattr(structure, "_function_words", lambda *a: ("", 0.0, 0.0, 1.0))
     assert structure.kind_of(texts[0]) != "junk"
     structure._cells.cache_clear()
+
+
+def _planted_subjects(seed, n):
+    """Documents of one or two of four subjects, with shares that vary, passing mentions, wrong labels and missing second ones."""
+    rng = np.random.default_rng(seed)
+    names, rows, truth = ["a", "b", "c", "d"], [], []
+    for _ in range(n):
+        main, second = rng.permutation(4)[:2]
+        share = np.zeros(4)
+        share[main] = 1.0
+        two = rng.random() < 0.35
+        mention = rng.uniform(0.3, 0.5) if two else rng.uniform(0.0, 0.15)
+        share[main], share[second] = 1 - mention, mention
+        about = {names[main], names[second]} if two else {names[main]}
+        counts = {}
+        for k, p in enumerate(share):
+            for w in rng.integers(0, 30, int(round(80 * p))):
+                counts[f"{names[k]}{w}"] = counts.get(f"{names[k]}{w}", 0) + 1
+        given = set(about)
+        if two and rng.random() < 0.4:
+            given.discard(names[second])
+        if rng.random() < 0.06:
+            given = {names[rng.integers(4)]}
+        rows.append((sorted(given), counts, [0.0] * len(subjects.STRUCTURE), "s"))
+        truth.append(about)
+    return names, rows, truth
+
+
+def test_chain_learns_from_noisy_labels_and_is_calibrated():
+    names, rows, truth = _planted_subjects(4, 2400)
+    model = subjects.fit(rows[:1600], names)
+    found, wrong, missed, sure = 0, 0, 0, []
+    for (_, counts, _, source), want in zip(rows[1600:], truth[1600:], strict=True):
+        c = np.zeros(4)
+        for w, k in counts.items():
+            if w in model.term_subject:
+                c[model.term_subject[w]] += k
+        got = {names[k]: p for k, p in model.decode(model._vector(c, "", source))}
+        found, wrong, missed = found + len(want & set(got)), wrong + len(set(got) - want), missed + len(want - set(got))
+        sure += [(p, s in want) for s, p in got.items()]
+    assert found / (found + wrong) > 0.97 and found / (found + missed) > 0.97
+    ps, hits = np.array([p for p, _ in sure]), np.array([h for _, h in sure])
+    assert abs(ps.mean() - hits.mean()) < 0.06  # the probabilities say how often they are right

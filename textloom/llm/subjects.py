@@ -8,8 +8,9 @@ together; a beam search decodes the likeliest combination.
 
 The fit takes a bounded sample of labelled documents.  Hand labels can be wrong
 and second subjects missing, so terms are relearnt from the shares of the round
-before, and a label that the shares clearly contradict is corrected: a subject
-is one that about a third of the document is about.
+before, and the chain's models are fitted with the labels' rates of error by
+expectation-maximization: each learns where a share makes a subject from labels
+as they are, none of which is changed by hand.
 """
 
 from __future__ import annotations
@@ -37,11 +38,14 @@ _ACCENT = re.compile(r"\\([\"'`^~])\{?\\?([A-Za-z])\}?|\\c\{([A-Za-z])\}|\{?\\ss
 _MARKS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303"}
 _MACRO = re.compile(r"\\(?:def|newcommand|renewcommand|providecommand)\*?\{?\\([A-Za-z]+)\}?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
 STRUCTURE = ("\\item", "\\bibitem", " & ", "|", "\t", "\\section", "@article", "\n")
+#: Where the pieces of a subject's response to its own share begin, and how long each is.
+STEP = 0.1
+STEPS = np.arange(0.05, 0.65, STEP)
 
 
-def plain(text: str) -> str:
-    """A document's body with its own macros put in, accents composed and other markup gone."""
-    inside = body(text)
+def plain(text: str, inside: str | None = None) -> str:
+    """A document's body (``inside``, where it is known) with its own macros put in, accents composed and other markup gone."""
+    inside = body(text) if inside is None else inside
     if "\\" in inside:
         macros = {name: value for name, value in _MACRO.findall(text) if "#" not in value}
         if macros:
@@ -73,10 +77,10 @@ class Model(NamedTuple):
     weights: list[np.ndarray]  # one row a link of the chain
     scale: list[float]  # calibration of each link
 
-    def features(self, text: str, title: str | None, source: str | None) -> tuple[np.ndarray, float]:
+    def features(self, text: str, title: str | None, source: str | None, inside: str | None = None) -> tuple[np.ndarray, float]:
         """(features, number of subject terms)."""
         get = self.term_subject.get
-        found = Counter(map(get, terms(plain(text))))
+        found = Counter(map(get, terms(plain(text, inside))))
         found.update(map(get, terms(title or "")))
         found.pop(None, None)
         counts = np.zeros(len(self.subjects))
@@ -89,7 +93,8 @@ class Model(NamedTuple):
         shares = counts / total if total else counts
         origin = np.array([float(source == s) for s in self.sources])
         shape = np.log1p([text.count(s) for s in STRUCTURE]) / 8
-        return np.concatenate((shares, np.sqrt(shares), [math.log1p(total) / 8, 1.0], origin, shape))
+        steps = np.clip((shares[:, None] - STEPS) / STEP, 0.0, 1.0)
+        return np.concatenate((shares, [math.log1p(total) / 8, 1.0], origin, shape, steps.ravel()))
 
     def decode(self, features: np.ndarray, width: int = 6) -> list[tuple[int, float]]:
         """The likeliest combination of subjects, by beam search over the chain: (subject, its probability there)."""
@@ -113,13 +118,9 @@ class Model(NamedTuple):
         return min(1 - 1e-6, max(1e-6, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))))
 
 
-#: A share of subject terms from which a document surely has the subject, and one below which it surely hasn't.
-SURELY, HARDLY = 0.27, 0.18
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression on targets from 0 to 1, by Newton's method."""
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + ridge * w
@@ -131,6 +132,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40
     return w
 
 
+def _denoised(x: np.ndarray, y: np.ndarray, main: np.ndarray, rounds: int = 20, ridge: float = 4.0) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float]]:
+    """(weights, probabilities that a row truly has the subject, (rate of false labels, rates of missing ones for main and for further subjects)).
+
+    Hand labels are noisy observations of the truth, and annotators more often leave
+    out a subject that isn't the ``main`` one.  Expectation-maximization fits the
+    truth's logistic model and the rates of error together.
+    """
+    truth, false, first, further = y.astype(float), 0.02, 0.05, 0.4
+    w = None
+    for _ in range(rounds):
+        w = _logistic(x, truth, ridge, steps=8, start=w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        missing = np.where(main, first, further)
+        yes, no = p * np.where(y > 0, 1 - missing, missing), (1 - p) * np.where(y > 0, false, 1 - false)
+        truth = yes / (yes + no)
+        rate = lambda missed, of: float(np.clip((missed.sum() + 0.5) / (of.sum() + 2), 1e-3, 0.6))
+        false = rate((1 - truth) * y, 1 - truth)
+        first, further = rate((truth * (1 - y))[main], truth[main]), rate((truth * (1 - y))[~main], truth[~main])
+    return w, truth, (false, first, further)
+
+
 def fit(rows: list[tuple], subjects: list[str], rounds: int = 4, seen_in: int = 4) -> Model:
     """A model from (subjects of a document, its term counts, text shape features, source) rows; see ``sample``."""
     n, m = len(subjects), len(rows)
@@ -166,7 +188,7 @@ def fit(rows: list[tuple], subjects: list[str], rounds: int = 4, seen_in: int =
         trusted = np.where(agreed.sum(axis=1, keepdims=True) > 0.2, agreed, shares)
         size = trusted.sum(axis=1, keepdims=True)
         belief = np.divide(trusted, size, out=labels / np.maximum(1, labels.sum(axis=1, keepdims=True)), where=size > 0)
-    model = Model(subjects, {t: int(best[k]) for k, t in enumerate(known) if sure[k]}, sorted({r[3] for r in rows if r[3]})[:32], [], [])
+    model = Model(subjects, {t: int(best[k]) for k, t in enumerate(known) if sure[k]}, sorted({r[3] for r in rows if r[3]}), [], [])
     x = []
     for (_, counts, shape, source) in rows:
         c = np.zeros(n)
@@ -174,20 +196,27 @@ def fit(rows: list[tuple], subjects: list[str], rounds: int = 4, seen_in: int =
             if t in model.term_subject:
                 c[model.term_subject[t]] += k
         v = model._vector(c, "", source)
-        v[-len(STRUCTURE) :] = shape
+        first = n + 2 + len(model.sources)
+        v[first : first + len(STRUCTURE)] = shape
         x.append(v)
     x = np.array(x) if x else np.zeros((0, 1))
-    if m:
-        labels = np.where(x[:, :n] >= SURELY, 1.0, np.where(x[:, :n] < HARDLY, 0.0, labels))
-    even = np.arange(m) % 2 == 0
+    held = np.arange(m) % 4 == 3
+    past, largest = np.zeros((m, 0)), x[:, :n].argmax(axis=1) if m else np.zeros(0, int)
     for k in range(n):
-        inputs = np.concatenate((x, labels[:, :k]), axis=1)
-        model.weights.append(_logistic(inputs, labels[:, k]))
-        # the scale is fitted on rows that a second model hasn't seen
-        held = inputs[~even] @ _logistic(inputs[even], labels[even, k])
-        grid = np.linspace(0.3, 1.5, 25)
-        loss = [np.logaddexp(0, np.where(labels[~even, k] > 0, -1, 1) * held * g).sum() for g in grid]
+        # of the steps only the subject's own
+        wide = x.shape[1] - n * len(STEPS)
+        own_ = np.r_[:wide, wide + k * len(STEPS) : wide + (k + 1) * len(STEPS), x.shape[1] : x.shape[1] + k]
+        inputs, main = np.concatenate((x, past), axis=1)[:, own_], largest == k
+        w, truth, _ = _denoised(inputs, labels[:, k], main)
+        model.weights.append(np.zeros(x.shape[1] + k))
+        model.weights[k][own_] = w
+        # the scale makes the hand labels of rows that a second model hasn't seen likeliest, their errors allowed for
+        other, _, (false, first, further) = _denoised(inputs[~held], labels[~held, k], main[~held])
+        grid, z, missing = np.linspace(0.3, 4.0, 38), inputs[held] @ other, np.where(main, first, further)[held]
+        seen = [false + (1 - missing - false) / (1 + np.exp(-np.clip(z * g, -30, 30))) for g in grid]
+        loss = [-np.log(np.where(labels[held, k] > 0, p, 1 - p)).sum() for p in seen]
         model.scale.append(float(grid[int(np.argmin(loss))]))
+        past = np.concatenate((past, truth[:, None]), axis=1)
     return model
 
 
@@ -203,8 +232,8 @@ def sample(docs: DataFrame, labels: DataFrame, catalog: DataFrame, bound: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, words, counts, shapes = [], [], [], []
-            for key, text, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, words, counts, shapes, origins = [], [], [], [], []
+            for key, text, title, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text and not text.isspace():
                     found = Counter(terms(plain(text)))
                     found.update(terms(title or ""))
@@ -212,11 +241,15 @@ def sample(docs: DataFrame, labels: DataFrame, catalog: DataFrame, bound: int =
                     words.append(list(found))
                     counts.append(list(found.values()))
                     shapes.append([math.log1p(text.count(s)) / 8 for s in STRUCTURE])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64()))], names=["doc_id", "words", "counts", "shape"])
-
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", source_name(F.col("source")).alias("source")).join(F.broadcast(chosen), "doc_id")
-    counted = wanted.select("doc_id", "text", "title").mapInArrow(run, "doc_id bigint, words array<string>, counts array<int>, shape array<double>")
-    rows = counted.join(F.broadcast(chosen), "doc_id").join(F.broadcast(wanted.select("doc_id", "source")), "doc_id").orderBy("doc_id").collect()
+                    origins.append(source)
+            columns = [pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64())), pa.array(origins, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "counts", "shape", "source"])
+
+    # the chosen ids are bounded by the sample
+    ids = F.broadcast(chosen)
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", source_name(F.col("source")).alias("source")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    counted = wanted.mapInArrow(run, "doc_id bigint, words array<string>, counts array<int>, shape array<double>, source string")
+    rows = counted.join(ids, "doc_id").orderBy("doc_id").collect()
     return [(r.named, dict(zip(r.words, r.counts, strict=True)), r["shape"], r.source) for r in rows], subjects
 
 
@@ -236,10 +269,9 @@ def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
                 for key, text, title, source in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns), strict=True):
                     if not text or text.isspace():
                         continue
-                    if structure.is_junk(text, article=True):
-                        continue
-                    features, n = fitted.features(text, title, source)
-                    if not n:
+                    inside = body(text)
+                    features, n = fitted.features(text, title, source, inside)
+                    if not n or structure.is_junk(inside):
                         continue
                     rows += [(key, fitted.subjects[k], float(features[k]), p) for k, p in fitted.decode(features)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
