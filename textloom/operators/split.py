@@ -19,7 +19,7 @@ _QUOTES = "\"“”'‘’"
 _PART = 128
 
 
-def _mark(text: Column) -> Column:
+def mark_for(text: Column) -> Column:
     """A character that ``text`` doesn't hold."""
     out = F.lit(_MARKS[-1])
     for mark in reversed(_MARKS[:-1]):
@@ -29,7 +29,7 @@ def _mark(text: Column) -> Column:
 
 def _pieces(text: Column, pattern: str) -> Column:
     """A text cut after each match of ``pattern``, which stays with the piece before it."""
-    return let(_mark(text), lambda mark: F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.concat(F.lit("$1"), mark)), mark))
+    return let(mark_for(text), lambda mark: F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.concat(F.lit("$1"), mark)), mark))
 
 
 def _parts(items: Column) -> Column:
@@ -91,7 +91,7 @@ def sentence_array(text: Column, chars: bool = False) -> Column:
         with_mark = F.concat(F.lit("$1"), mark)
         return F.split(F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, stop, with_mark)).otherwise(p)), ""), mark)
 
-    return _located(let(_mark(text), cut), chars)
+    return _located(let(mark_for(text), cut), chars)
 
 
 def simple_sentences(text: Column) -> Column:
@@ -137,7 +137,7 @@ def legacy_paragraph_array(text: Column) -> Column:
         return let(at, lambda sums: F.transform(pieces, lambda p, i: F.struct((first + F.get(sums, i)).cast("int").alias("start"), (first + F.get(sums, i + 1)).cast("int").alias("end"), trimmed(p).alias("text"))))
 
     # the odd pieces are blank lines
-    found = F.filter(let(let(_mark(text), cut), spans), lambda s, i: (i % 2 == 0) & (F.length(s["text"]) > 0))
+    found = F.filter(let(let(mark_for(text), cut), spans), lambda s, i: (i % 2 == 0) & (F.length(s["text"]) > 0))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).cast("int").alias("end"), text.alias("text")))
     return F.when(F.length(text) > 0, let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
 
