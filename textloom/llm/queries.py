@@ -111,12 +111,13 @@ def _p6_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Requests with wrongly decoded text."""
-    return _p6_lines(spark, root).where("posterior >= 0.5").select("request_id").distinct()
+    return encoding_repair.garbled_lines(_p6_lines(spark, root)).select("request_id").distinct()
 
 
 def p6_repaired(spark: SparkSession, root: str) -> DataFrame:
     """Requests with wrongly decoded text, restored as far as possible."""
-    lines = _p6_lines(spark, root).where("posterior >= 0.5")
+    rows = _p6_lines(spark, root)
+    lines = rows.join(encoding_repair.garbled_lines(rows), ["request_id", "line"])
     requests = sentences.one_row(table(spark, root, "detect_requests").select("request_id", "text"))
     return encoding_repair.restored(requests, lines)
 
