@@ -24,19 +24,23 @@ LOOKALIKE = {
     "аАеЕоОрРсСхХуіІјЈѕЅһԁԛԝВНКМТԌ": "aAeEoOpPcCxXyiIjJsShdqwBHKMTG",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναρ": "ABEZHIKMNOPTYXovap",
     "ёЁїЇ": "ëËïÏ",
+    "օոսհցզյՏՕԼՍ": "onuhgqjSOLU",
 }
 #: Characters that do not show (fixed values).
 HIDDEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 QUOTES = {"“”„‟«»″": '"', "‘’‚‛′‹›": "'"}
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 COLLATION = "UNICODE"
+#: Members of a class that one task pairs with all others.
+PART = 500
 
 
 @lru_cache(1)
 def _single() -> tuple[str, str]:
     """The mapping of single characters: width forms, spaces, look-alikes, then the hidden ones, which map to nothing."""
     mapped = {c: v for k, vs in LOOKALIKE.items() for c, v in zip(k, vs, strict=True)}
-    for code in [*range(0xFF01, 0xFFEF), *range(0x2000, 0x200B), 0xA0, 0x202F, 0x205F, 0x3000]:
+    fonts = (c for c in range(0x2100, 0x1EF00) if unicodedata.decomposition(chr(c)).startswith("<font>"))  # letters in another style
+    for code in [*range(0xFF01, 0xFFEF), *range(0x2000, 0x200B), 0xA0, 0x202F, 0x205F, 0x3000, *fonts]:
         plain = unicodedata.normalize("NFKC", chr(code))
         if len(plain) == 1 and plain != chr(code):
             mapped[chr(code)] = mapped.get(plain, plain)
@@ -52,13 +56,10 @@ def _several() -> list[tuple[str, str]]:
 
 @lru_cache(1)
 def _bare() -> tuple[str, str]:
-    """Every composed letter of the alphabets and kana, and its letter without marks."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x620, 0x6D4), *range(0x900, 0xE00), *range(0x1E00, 0x2000), *range(0x3041, 0x3100)]:
-        plain = unicodedata.normalize("NFD", chr(code))
-        if len(plain) > 1:
-            pairs[chr(code)] = plain[0]
-    return "".join(pairs), "".join(pairs.values())
+    """Every character with a canonical decomposition, and the first character of it; then what follows a first one in decomposed Hangul, which maps to nothing."""
+    pairs = {c: d[0] for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0x30000)]) if (d := unicodedata.normalize("NFD", c)) != c}
+    following = "".join(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    return "".join(pairs) + following, "".join(pairs.values())
 
 
 def visible(text: Column, punctuation: bool = False) -> Column:
@@ -81,11 +82,20 @@ def folded(text: Column) -> Column:
 
 
 def outline(text: Column) -> Column:
-    """A hash that is equal for all texts which may look the same."""
+    """A hash that is equal for all texts which may look the same.
+
+    Canonically equal texts have the same first characters of their decompositions
+    once all marks are gone, so it is coarser than the collation.
+    """
     bare = F.translate(folded(visible(text)), *_bare())
     return F.xxhash64(F.regexp_replace(bare, r"[\p{M}\p{Cntrl}\p{Cf}\s]+", ""))
 
 
+def spelled(text: Column) -> Column:
+    """What stands for a text's exact characters: two hashes, 128 bits together."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def hashed(requests: DataFrame) -> DataFrame:
     """``request_id, fold, spelling, outline`` of the non-blank texts, once a request.
 
@@ -95,7 +105,7 @@ def hashed(requests: DataFrame) -> DataFrame:
     fold = F.coalesce(F.col("preprocess_options.normalize_punctuation"), F.lit(True))
     rows = requests.where(F.col("text").rlike(r"\S") & F.col("request_id").isNotNull())
     return (
-        rows.select("request_id", fold.alias("fold"), F.xxhash64("text").alias("spelling"), outline(F.col("text")).alias("outline"))
+        rows.select("request_id", fold.alias("fold"), spelled(F.col("text")).alias("spelling"), outline(F.col("text")).alias("outline"))
         .groupBy("request_id")
         .agg(F.min("fold").alias("fold"), F.min(F.struct("spelling", "outline")).alias("s"))
         .select("request_id", "fold", "s.*")
@@ -120,7 +130,7 @@ def canonical(requests: DataFrame) -> DataFrame:
     texts = (
         requests.where(F.col("request_id").isNotNull()).select("request_id", "text")
         .join(member, "request_id")
-        .where(F.xxhash64("text") == F.col("spelling"))
+        .where(spelled(F.col("text")) == F.col("spelling"))
         .groupBy("spelling")
         .agg(F.min("text").alias("text"))
     )
@@ -145,9 +155,11 @@ def pairs(requests: DataFrame) -> DataFrame:
     links with one row a request, for uses that need no pairs.
     """
     rows = canonical(requests)
-    several = rows.groupBy("loose_id").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("loose_id")
-    rows = rows.join(several, "loose_id", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
+    # a large class is cut into parts on one side, so that no task holds all of its pairs
+    sizes = rows.groupBy("loose_id").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("low <> high")
+    rows = rows.join(sizes.select("loose_id", "parts"), "loose_id")
+    a = rows.withColumn("part", F.pmod(F.xxhash64("request_id"), "parts").cast("int")).alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     same = (F.col("a.strict_id") == F.col("b.strict_id")) | (F.col("a.fold") & F.col("b.fold"))
-    found = a.join(b, (F.col("a.loose_id") == F.col("b.loose_id")) & (F.col("a.request_id") < F.col("b.request_id")) & (F.col("a.spelling") != F.col("b.spelling")) & same)
+    found = a.join(b, (F.col("a.loose_id") == F.col("b.loose_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.request_id") < F.col("b.request_id")) & (F.col("a.spelling") != F.col("b.spelling")) & same)
     return found.select(F.col("a.request_id").alias("request_id_a"), F.col("b.request_id").alias("request_id_b"))
