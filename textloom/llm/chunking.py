@@ -17,8 +17,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.checkpoints import cut as checkpoint
+
 TOKEN = "[A-Za-z0-9_]+|[一-鿿]"
 DEFAULT_LIMIT = 1500
+#: Oversized blocks, of twenty bytes each, up to which they are broadcast.
+FEW = 1_000_000
 _TOKEN = re.compile(TOKEN)
 #: Boundaries from strongest to weakest; a cut comes after the match.
 _BOUNDARIES = [
@@ -122,7 +126,10 @@ def split_blocks(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     Offsets are UTF-8 bytes within the block's text.  Exact duplicate blocks give
     their pieces once; null and blank texts are never oversized.
     """
-    texts = blocks.select("block_id", "text").join(oversized(blocks, requests), "block_id").dropDuplicates(["block_id"])
+    # found first and counted: few enough are sent to where the texts are, which then aren't shuffled
+    over = checkpoint(oversized(blocks, requests))
+    over = F.broadcast(over) if over.count() <= FEW else over
+    texts = blocks.select("block_id", "text").join(over, "block_id").dropDuplicates(["block_id"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
