@@ -119,3 +119,29 @@ def test_restored_lines(spark):
     lines = spark.createDataFrame([("r", 2, "a>b", 0.9, "mended")], "request_id string, line int, chain string, posterior double, original string")
     row = repair.restored(spark.createDataFrame([("r", text)], "request_id string, text string"), lines).first()
     assert row.text == "sound \x00 line\r\nmended\rlast" and row.chains == ["a>b"] and not row.lost
+
+
+# 3
+def test_outlines_are_coarser_than_the_collation(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+    from textloom.llm import lookalike
+
+    same = [("한국어", unicodedata.normalize("NFD", "한국어")), ("豈", unicodedata.normalize("NFC", "豈")), ("𝐀𝑏", "Ab"), ("օ", "o"), *((unicodedata.normalize("NFC", t), unicodedata.normalize("NFD", t)) for t in ("\u1ec7x", "\u0915\u093cy", "\u30ac"))]
+    rows = [(f"r{2 * i + k}", t) for i, pair in enumerate(same) for k, t in enumerate(pair)] + [("x1", "한국이"), ("x2", "Ac")]
+    df = spark.createDataFrame(rows, "request_id string, text string").withColumn("preprocess_options", F.struct(F.lit(True).alias("normalize_punctuation")))
+    pairs = {(r.request_id_a, r.request_id_b) for r in lookalike.pairs(df).collect()}
+    want = {tuple(sorted((f"r{2 * i}", f"r{2 * i + 1}"))) for i, (x, y) in enumerate(same) if x != y}
+    assert want <= pairs and not any("x" in a + b for a, b in pairs)
+
+
+def test_large_classes_keep_their_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from textloom.llm import lookalike
+
+    monkeypatch.setattr(lookalike, "PART", 3)
+    rows = [(f"r{i:02d}", "Hello world" if i % 2 else "Ｈello world") for i in range(20)]
+    df = spark.createDataFrame(rows, "request_id string, text string").withColumn("preprocess_options", F.struct(F.lit(True).alias("normalize_punctuation")))
+    found = lookalike.pairs(df).collect()
+    assert len(found) == len({(r.request_id_a, r.request_id_b) for r in found}) == 100

@@ -249,7 +249,7 @@ def sample(docs: DataFrame, labels: DataFrame, catalog: DataFrame, bound: int =
     ids = F.broadcast(chosen)
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", source_name(F.col("source")).alias("source")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     counted = wanted.mapInArrow(run, "doc_id bigint, words array<string>, counts array<int>, shape array<double>, source string")
-    rows = counted.join(ids, "doc_id").orderBy("doc_id").collect()
+    rows = sorted(counted.join(ids, "doc_id").collect(), key=lambda r: r.doc_id)  # sorting in Spark would read the texts twice
     return [(r.named, dict(zip(r.words, r.counts, strict=True)), r["shape"], r.source) for r in rows], subjects
 
 
