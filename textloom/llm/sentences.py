@@ -15,6 +15,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -62,7 +63,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = re.compile(r"[^\s(（\[“”„«\"'‘—–-]+$|c\.-à-d$", re.IGNORECASE)
 _TAIL = re.compile(r"[.!?)»”’]")
 _SPACELESS = re.compile("[぀-ヿ㐀-鿿！-￯]")
-LONGEST = 40  # candidates a sentence may pass over
+LONGEST = 40  # candidates a sentence may pass over, those within quotations and brackets not counted
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
@@ -80,8 +81,7 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
             continue
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in opener:
-                if at - stack[k][1] < 1500:
-                    out.append((stack[k][1], at))
+                out.append((stack[k][1], at))
                 del stack[k:]
                 break
     return sorted(out)
@@ -152,15 +152,16 @@ def _thai(text: str, start: int, end: int) -> float | None:
     return 2.5
 
 
-def _candidates(text: str) -> list[tuple[int, float, tuple[int, int] | None]]:
-    """Places where a sentence may start after another: (place, score, pair closed just before, with its stop inside)."""
-    letters = [c for c in text[:400] if c.isalpha()]
-    upper = sum(map(str.isupper, letters))
+def _candidates(text: str) -> list[tuple[int, float, tuple[int, int] | None, bool]]:
+    """Places where a sentence may start after another: (place, score, pair closed just before, with its stop inside; whether it is within a pair)."""
+    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
     cased = upper > 0
-    shouted = upper > 0.8 * len(letters)
+    shouted = upper > 4 * lower and upper > 0.8 * sum(map(str.isalpha, text))
     pairs = _enclosed(text) if _MARK.search(text) else []
     starts = [a for a, _ in pairs]
-    out: list[tuple[int, float, tuple[int, int] | None]] = []
+    furthest = list(accumulate((b for _, b in pairs), max))  # of all pairs that begin so early, the last end
+    closed = {b: (a, b) for a, b in pairs}
+    out: list[tuple[int, float, tuple[int, int] | None, bool]] = []
     for m in (_CANDIDATE_LOW if "„" in text else _CANDIDATE).finditer(text):
         if m["thai"] is not None:
             at, score, pair = m.end(), _thai(text, m.start("thai"), m.end()), None
@@ -193,12 +194,11 @@ def _candidates(text: str) -> list[tuple[int, float, tuple[int, int] | None]]:
             pair = None
             if m["shut"]:
                 last = m.end("shut") - 1
-                pair = next((p for p in pairs if p[1] == last), None)
+                pair = closed.get(last)
         # a place inside a pair would leave its sentences unbalanced
         k = bisect_left(starts, at)
-        if any(b >= at for _, b in pairs[max(0, k - 6) : k]):
-            score -= 12.0
-        out.append((at, score, pair))
+        within = k > 0 and furthest[k - 1] >= at
+        out.append((at, score - 12.0 if within else score, pair, within))
     return out
 
 
@@ -214,9 +214,11 @@ def spans(text: str) -> list[tuple[int, int]]:
     places = [first, *(c[0] for c in found), n]
     last = len(places) - 1
     best, back = [0.0] + [-math.inf] * last, [0] * (last + 1)
+    outside = [0]  # places outside of all pairs, so that a quotation is passed over however much it holds
     for j in range(1, last + 1):
-        at, score, pair = found[j - 1] if j < last else (n, 0.0, None)
-        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+        at, score, pair, within = found[j - 1] if j < last else (n, 0.0, None, False)
+        near = max(0, j - LONGEST)
+        for i in [*range(j - 1, near - 1, -1), *(i for i in reversed(outside[-LONGEST:]) if i < near)]:
             value = best[i] + score + _length(at - places[i])
             if pair is not None:
                 # a stop inside brackets or quotation marks ends the sentence if they enclose all of it, or follow a colon
@@ -227,6 +229,8 @@ def spans(text: str) -> list[tuple[int, int]]:
                     value -= 1.0
             if value > best[j]:
                 best[j], back[j] = value, i
+        if not within:
+            outside.append(j)
     out, j = [], last
     while j:
         i = back[j]
