@@ -145,3 +145,25 @@ def test_large_classes_keep_their_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "request_id string, text string").withColumn("preprocess_options", F.struct(F.lit(True).alias("normalize_punctuation")))
     found = lookalike.pairs(df).collect()
     assert len(found) == len({(r.request_id_a, r.request_id_b) for r in found}) == 100
+
+
+# 2
+def test_a_quotation_of_any_length_stays_with_its_sentence():
+    from textloom.llm import sentences
+
+    quoted = "„" + "Ein Satz steht hier. " * 300 + "Ende.“ sagte sie."
+    assert [s for _, _, s in sentences.sentences(f"{quoted} Dann ging es weiter.")] == [quoted, "Dann ging es weiter."]
+    # the case of a script is told from the whole paragraph
+    mixed = "研究的结果表明这个方法不好。" * 60 + "Это был план др. и других авторов. Потом он вышел."
+    assert len(sentences.sentences(mixed)) == 62
+
+
+# 4
+def test_grams_of_one_slot_are_all_found(monkeypatch):
+    from textloom.llm import language_id
+
+    monkeypatch.setattr(language_id, "SLOTS", 12)
+    model = language_id.fit([("en", "The plan was not as good as it had been in the first year of the trial.")], grams_kept=3000)
+    keys = model.keys[1:]
+    assert len(keys) > 1500 and (model._found(keys) == np.arange(1, len(keys) + 1)).all()
+    assert not model._found(keys + (1 << 52)).any()
