@@ -162,8 +162,8 @@ def test_a_quotation_of_any_length_stays_with_its_sentence():
 def test_grams_of_one_slot_are_all_found(monkeypatch):
     from textloom.llm import language_id
 
-    monkeypatch.setattr(language_id, "SLOTS", 12)
+    monkeypatch.setattr(language_id, "SLOTS", 10)
     model = language_id.fit([("en", "The plan was not as good as it had been in the first year of the trial.")], grams_kept=3000)
     keys = model.keys[1:]
-    assert len(keys) > 1500 and (model._found(keys) == np.arange(1, len(keys) + 1)).all()
+    assert len(keys) > 500 and (model._found(keys) == np.arange(1, len(keys) + 1)).all()
     assert not model._found(keys + (1 << 52)).any()
