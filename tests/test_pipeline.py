@@ -254,12 +254,31 @@ def test_files(spark, tmp_path):
     assert logs.append_reviews(reviews, str(tmp_path / "log")).first().flag == 1
 
 
+def test_reports(spark):
+    import json
+
+    docs = spark.createDataFrame([(1, 0.5, "review"), (2, 0.0, "pass")], "doc_id bigint, overall_probability double, decision string")
+    found = spark.createDataFrame([(1, 1, 0.4), (1, 0, 0.6)], "doc_id bigint, chunk_id int, raw_probability double")
+    got = {r.doc_id: json.loads(r.report) for r in files.reports(docs, found, docs.select("doc_id", "decision")).collect()}
+    assert [s["chunk_id"] for s in got[1]["segments"]] == [0, 1] and got[1]["aggregation"]["decision"] == "review" and got[1]["dualDetection"] == {"decision": "review"}
+    assert got[2]["segments"] == []
+
+
+def test_what_is_scored_and_shown(spark):
+    rows = [(1, 0, True), (1, 1, False), (2, 0, False), (2, 1, None)]
+    blocks = spark.createDataFrame(rows, "doc_id bigint, block_index int, need_detect boolean")
+    assert sorted((r.doc_id, r.block_index) for r in split.detectable(blocks).collect()) == [(1, 0), (2, 0), (2, 1)]
+    shown = compare.in_order(spark.createDataFrame([(2, 0), (1, 1), (1, 0)], "doc_id bigint, chunk_id int"), 1).collect()
+    assert [(r.doc_id, r.chunk_id) for r in shown] == [(1, 0), (2, 0)]
+
+
 def test_settings(tmp_path):
     s = Settings(str(tmp_path / "s.json"), keep=2)
     for i in range(4):
         s.set("a.b", i)
     assert s.get("a.b") == 3 and len(s.versions()) == 2 and s.rollback() and s.get("a.b") == 2
     assert s.delete("a.b") and s.get("a.b", "none") == "none"
+    assert [s.backup() for _ in range(12)] and len(list(tmp_path.glob("*.bak"))) == 10 and Settings(str(tmp_path / "none.json")).backup() is None
     assert clean_key(' "Bearer k" ') == "k" and endpoint("http://h/", "/v1/messages") == "http://h/v1/messages"
 
 

@@ -8,7 +8,7 @@ blank texts have no sentences and no blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions.text import SPACE, SPACE_IN_LINE, let, trimmed
 
@@ -301,3 +301,9 @@ def merge_spans(spans: Column, marked: Column) -> Column:
         return F.transform(grouped(ids), lambda r: F.struct(F.element_at(spans, r["first"])["start"].alias("start"), F.element_at(spans, r["first"] + r["count"] - 1)["end"].alias("end")))
 
     return let(spans, merged)
+
+
+def detectable(blocks: DataFrame) -> DataFrame:
+    """The blocks of each document that are to be scored (``need_detect``); all of them where none is."""
+    any_ = F.max(F.coalesce("need_detect", F.lit(False))).over(W.partitionBy("doc_id"))
+    return blocks.withColumn("_any", any_).where(F.coalesce("need_detect", F.lit(False)) | ~F.col("_any")).drop("_any")

@@ -9,8 +9,9 @@ from textloom.functions import text as T
 from textloom.operators import aggregate, chunk, classify, compare, features, judge, nodes, profile, score, split
 from textloom.plans import pipeline, queries as base, sql
 from textloom.plans.queries import entry
-from textloom.plans.registry import END, QUERIES, SQL, clean, query, rounded as r
+from textloom.plans.registry import END, QUERIES, SQL, clean, documents, query, rounded as r
 from textloom.sources import files
+from textloom.tables import table
 
 _BLOCKS = f"{sql.DOCS}, {sql.PARAGRAPHS}"
 _SEGMENTS = base._SEGMENTS
@@ -293,8 +294,6 @@ _FILTERED = f"with {_BLOCKS}, {_KEPT}, {sql.features('kept', 'doc_id, chunk_id',
 @query(f"{_FILTERED}, {sql.aggregated('seg')} select d.doc_id, round(coalesce(overall_p, 0), 6) as overall_probability, round(coalesce(conf, 0), 6) as overall_confidence, coalesce(segments, 0) as segments, case when overall_p is null then 'pass' else {sql.overall('overall_p', 'unc', 'supported', 'medium')} end as decision from documents d left join agg using (doc_id)")
 def filtered_detection(spark: SparkSession, root: str) -> DataFrame:
     """Detection of what the content filter keeps."""
-    from textloom.plans.registry import documents
-
     rows = pipeline.detect(documents(spark, root), filtered=True)
     return rows.select("doc_id", r("overall_probability"), r("overall_confidence"), "segments", "decision")
 
@@ -462,8 +461,6 @@ def divergent_highlight(spark: SparkSession, root: str) -> DataFrame:
  select request_id, case k when 0 then 'ok' when 1 then 'ok' when 2 then '{"a":1}' when 3 then 'in a string' end as answer, '{"a":"}"}' as first_object from k""")
 def response_answers(spark: SparkSession, root: str) -> DataFrame:
     """Answers out of providers' responses of several shapes, and the first balanced object of a text."""
-    from textloom.tables import table
-
     rows = table(spark, root, "detect_requests").where("text is not null").groupBy("request_id").agg((F.min("text")).alias("t"))
     shapes = [
         '{"output":[{"content":[{"text":" "},{"text":"ok"}]}]}', '{"output":[],"choices":[{"message":{"content":"ok"}}]}', '{"choices":[{"message":{"content":null,"reasoning_content":"so {\\"a\\":1} it is"}}]}',
@@ -489,4 +486,52 @@ def legacy_rows(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("chunkId", r("probability"), r("confidence"), r("ttr"), r("avgSentenceLen"), "ppl")
 
 
+@query("""with b as (select distinct block_id, ttr from stylometry_metrics where ttr is not null and not isnan(ttr)) select block_id, ttr between 0.4 and 0.6 as conflict from b""")
+def consistency_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    """Explanations of a block's diversity that contradict each other; made up from the old metrics."""
+    rows = table(spark, root, "stylometry_metrics").where("ttr is not null and not isnan(ttr)").select("block_id", "ttr").distinct()
+    told = F.array(F.format_string("ttr=%.2f", F.col("ttr")), F.when(F.col("ttr") >= 0.4, "多样性高"), F.when(F.col("ttr") <= 0.6, "多样性低"))
+    return rows.select("block_id", classify.conflicting(F.filter(told, lambda x: x.isNotNull())).alias("conflict"))
+
+
+@query("select event_type as provider, count(*) as total, count(*) filter (value >= 20) as success, count(*) filter (value < 20) as failed, round(min(value), 6) as min_ms, round(avg(value), 6) as avg_ms, round(max(value), 6) as max_ms from events where value is not null group by 1")
+def latency_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Calls by provider; the events stand in for calls."""
+    calls = table(spark, root, "events").where("value is not null").select(F.col("event_type").alias("provider"), F.col("value").alias("ms"), (F.col("value") >= 20).alias("ok"))
+    return aggregate.latency_summary(calls).select("provider", "total", "success", "failed", r("min_ms"), r("avg_ms"), r("max_ms"))
+
+
+_PROVIDED = "(select request_id, min(received_at) as received_at from detect_requests where request_id is not null group by 1)"
+
+
+@query(f"with q as (select distinct request_id, unnest(list_distinct(providers)) as p from detect_requests join {_PROVIDED} using (request_id, received_at)) select string_split(p, ':')[1] as provider, count(*) as requested, count(*) filter (length(request_id) > 0 and substr(request_id, -1) <> '0') as success from q where p is not null group by 1")
+def provider_summary(spark: SparkSession, root: str) -> DataFrame:
+    """How often each provider was asked, and how often its answer could be read (made up from the ids)."""
+    asked = table(spark, root, "detect_requests").where("request_id is not null")
+    first = asked.groupBy("request_id").agg(F.min("received_at").alias("received_at"))
+    rows = asked.join(first, ["request_id", "received_at"]).select("request_id", F.explode(F.array_distinct("providers")).alias("p")).where("p is not null").distinct()
+    ok = ~F.col("request_id").endswith("0")
+    return aggregate.provider_summary(rows.select(F.array(T.provider_of(F.col("p"))["provider"]).alias("names"), ok.alias("ok")), F.col("names"))
+
+
+@query("with d as (select request_id, min(decision) as decision, min(overall_probability) as p, min(overall_confidence) as c from review_log where request_id is not null group by 1) select request_id as id, round(p, 6) as probability, round(c, 6) as confidence from d")
+def batch_rows(spark: SparkSession, root: str) -> DataFrame:
+    """What the archived implementation writes as a table of a batch."""
+    rows = table(spark, root, "review_log").where("request_id is not null").groupBy(F.col("request_id").alias("doc_id")).agg(F.min("overall_probability").alias("overall_probability"), F.min("overall_confidence").alias("overall_confidence"))
+    return files.batch_rows(rows).select("id", r("probability"), r("confidence"))
+
+
+@query(f"{_SEGMENTS} select doc_id, block_index as chunk_id, round(p, 6) as raw_probability from seg where block_index < 3")
+def first_segments(spark: SparkSession, root: str) -> DataFrame:
+    """The first three segments of each document, in order: the limit is the feature."""
+    return compare.in_order(pipeline.segments(clean(spark, root)), 3).select("doc_id", "chunk_id", r("raw_probability"))
+
+
+@query(f"with b as (select distinct block_id, request_id, block_index, coalesce(need_detect, false) as n from text_blocks), a as (select *, bool_or(n) over (partition by request_id) as any_n from b where request_id is not null) select block_id from a where n or not any_n")
+def detectable_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """The requests' blocks that are to be scored."""
+    rows = table(spark, root, "text_blocks").where("request_id is not null").select("block_id", F.col("request_id").alias("doc_id"), "block_index", F.coalesce("need_detect", F.lit(False)).alias("need_detect")).distinct()
+    return split.detectable(rows).select("block_id")
+
+
 __all__ = ["QUERIES", "SQL", "entry"]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textloom.functions.text import percent
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: Parts of a Word file that hold no running text, and the pattern of captions below (fixed values).
 _SKIPPED = {_W + x for x in ("tbl", "drawing", "pict", "object", "txbxContent")}
 
 
@@ -111,6 +112,27 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+def reports(documents: DataFrame, segments: DataFrame, dual: DataFrame | None = None) -> DataFrame:
+    """``doc_id, report``: one JSON object a document with its ``aggregation``, its ``segments`` in order and, where given, its ``dualDetection``.
+
+    ``documents`` and ``dual`` have one row a document; a document without segments has an empty list.
+    """
+    packed = lambda rows, name: rows.select("doc_id", F.struct(*[c for c in rows.columns if c != "doc_id"]).alias(name))
+    item = F.struct("chunk_id", *[c for c in segments.columns if c not in ("doc_id", "chunk_id")])
+    lists = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("segments"))
+    rows = packed(documents, "aggregation").join(lists, "doc_id", "left")
+    parts = ["aggregation", F.coalesce("segments", F.from_json(F.lit("[]"), lists.schema["segments"].dataType)).alias("segments")]
+    if dual is not None:
+        rows = rows.join(packed(dual, "dualDetection"), "doc_id", "left")
+        parts.append("dualDetection")
+    return rows.select("doc_id", F.to_json(F.struct(*parts)).alias("report"))
+
+
+def batch_rows(documents: DataFrame) -> DataFrame:
+    """What the archived implementation writes as a table of a batch."""
+    return documents.select(F.col("doc_id").alias("id"), F.col("overall_probability").alias("probability"), F.col("overall_confidence").alias("confidence"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from datetime import datetime
 from pathlib import Path
 from typing import Any
 
@@ -61,6 +62,16 @@ class Settings:
         for stale in self.versions()[: -self.keep]:
             stale.unlink()
 
+    def backup(self, keep: int = 10) -> Path | None:
+        """A copy of the settings named by the time, at most ``keep`` of them; none where there are no settings yet."""
+        if not self.path.exists():
+            return None
+        copy = self.path.with_name(f"{self.path.name}.{datetime.now():%Y%m%dT%H%M%S%f}.bak")
+        copy.write_text(self.path.read_text("utf-8"), "utf-8")
+        for stale in sorted(self.path.parent.glob(self.path.name + ".*.bak"))[:-keep]:
+            stale.unlink()
+        return copy
+
     def rollback(self) -> bool:
         """Puts the last kept version back."""
         old = self.versions()
