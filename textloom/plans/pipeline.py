@@ -81,21 +81,21 @@ NUMBERS = ["doc_id", "mode", "chunk_id", "start", "end", "raw_probability", "con
 
 
 def both_views(docs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """NUMBERS of the segments of both views of ``prepared`` documents, written once, all of a document together.
+    """NUMBERS of the segments of both views of ``prepared`` documents, written once, then shuffled so that all of a document lie together.
 
-    Each text is read once and gives the segments of both views; numbers are shuffled, never texts.
+    Each text is read once and gives the segments of both views; only their numbers are shuffled.
     """
     tagged = lambda mode: F.transform(_items(mode, cfg), lambda b, i: F.struct(F.lit(mode).alias("mode"), i.alias("chunk_id"), b.alias("b")))
     none = F.expr("cast(array() as array<struct<mode:string,chunk_id:int,b:struct<start:int,end:int,text:string>>>)")
     both = F.concat(F.coalesce(tagged("paragraph"), none), F.coalesce(tagged("sentence"), none))
     rows = docs.select("doc_id", "language", F.explode(both).alias("x")).select("doc_id", "language", "x.mode", "x.chunk_id", "x.b.start", "x.b.end", "x.b.text")
-    return cut(scored_blocks(rows, cfg).select(*NUMBERS).repartition("doc_id"))
+    return cut(scored_blocks(rows, cfg).select(*NUMBERS)).repartition("doc_id")
 
 
 def detect_dual(docs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Both views of every document, their comparison and fusion: the flagship query.
 
-    The numbers lie together by document, so the steps below shuffle nothing again.
+    The numbers lie together by document: the branches below share one shuffle of them.
     """
     numbers = both_views(prepared(docs), cfg)
     rows = aggregate.aggregated(numbers, cfg.sensitivity, ("doc_id", "mode"))
