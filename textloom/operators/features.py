@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.functions.text import legacy_tokens, let, tokens
-from textloom.operators.split import sentence_array, simple_sentences
+from textloom.functions.text import legacy_tokens, let, tokens, trimmed
+from textloom.operators.split import sentence_pieces, simple_sentences
 
 #: Function words that count for the ratio, and those of the archived implementation (fixed values; a word of two characters never equals a token).
 FUNCTION_WORDS = ["的", "之", "一", "是", "了", "在", "有", "和", "与", "这", "对", "也", "为", "而", "并且"]
@@ -48,7 +48,7 @@ def stylometry(blocks: DataFrame) -> DataFrame:
     with_tokens = blocks.withColumn("tokens", tokens(F.col("text")))
     with_counts = with_tokens.withColumn("token_counts", counts_of(F.col("tokens")))
     n = F.size("tokens")
-    mean = mean_length(F.transform(sentence_array(F.col("text")), lambda s: s["text"]), F.length("text"))
+    mean = mean_length(F.filter(F.transform(sentence_pieces(F.col("text")), trimmed), lambda s: F.length(s) > 0), F.length("text"))
     some = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
     return with_counts.withColumns({
         "ttr": some(F.size("token_counts") / n),

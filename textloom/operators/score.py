@@ -156,7 +156,9 @@ def scored(segments: DataFrame, language: str = "language", academic: Column | f
     strength = F.coalesce(academic, F.lit(0.0)) if isinstance(academic, Column) else F.lit(academic)
     t = terms(cjk, strength)
     machine, human = anchors(cjk, strength)
-    parts = segments.withColumns({f"_{k}": v for k, v in t.items()} | {"_machine": machine, "_human": human, "_academic": academic_anchors(F.col("text")) * strength})
+    some = isinstance(academic, Column) or academic > 0  # else the text isn't searched for them
+    anchored = academic_anchors(F.col("text")) * strength if some else F.lit(0.0)
+    parts = segments.withColumns({f"_{k}": v for k, v in t.items()} | {"_machine": machine, "_human": human, "_academic": anchored})
     anchor = F.when(F.col("_machine") > 0.3, F.col("_machine") * 1.5 * (1 - WEIGHTS["anchor"][0] * strength) * F.when(cjk, 0.9).otherwise(1.0)).otherwise(0.0)
     anchor = anchor + F.when(F.col("_human") > 0.3, F.col("_human") * -1.2).otherwise(0.0) - 0.45 * F.col("_academic")
     total = reduce(lambda a, b: a + b, [F.col(f"_{k}") for k in t]) + anchor

@@ -76,13 +76,8 @@ def _located(pieces: Column, chars: bool = False) -> Column:
     return F.filter(found, lambda s: F.length(s["text"]) > 0)
 
 
-def sentence_array(text: Column, chars: bool = False) -> Column:
-    """array<struct<start,end,left,text>> of the sentences, spans in bytes (or ``chars``).
-
-    A quotation mark of any kind toggles whether the scan is in a quotation, where
-    nothing splits; a full stop between digits doesn't split; blanks and tabs after a
-    stop belong to the sentence before.
-    """
+def sentence_pieces(text: Column) -> Column:
+    """array<string>: a text cut into its sentences, white space and blank pieces kept; see ``sentence_array``."""
     parts = F.split(text, f"(?<=[{_QUOTES}])")
     # a full stop at the very end of a part has no digit after it: the next character of the text is a quotation mark
     stop = F.lit("((?:[。！？!?]|(?<![0-9])\\.|\\.(?![0-9]))[ \\t]*)")
@@ -91,7 +86,17 @@ def sentence_array(text: Column, chars: bool = False) -> Column:
         with_mark = F.concat(F.lit("$1"), mark)
         return F.split(F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, stop, with_mark)).otherwise(p)), ""), mark)
 
-    return _located(let(mark_for(text), cut), chars)
+    return let(mark_for(text), cut)
+
+
+def sentence_array(text: Column, chars: bool = False) -> Column:
+    """array<struct<start,end,left,text>> of the sentences, spans in bytes (or ``chars``).
+
+    A quotation mark of any kind toggles whether the scan is in a quotation, where
+    nothing splits; a full stop between digits doesn't split; blanks and tabs after a
+    stop belong to the sentence before.
+    """
+    return _located(sentence_pieces(text), chars)
 
 
 def simple_sentences(text: Column) -> Column:
