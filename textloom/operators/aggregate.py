@@ -201,12 +201,12 @@ def nearest_rank(values: Column, share: float = 0.95) -> Column:
     return F.get(F.array_sort(values), F.bround(share * (F.size(values) - 1)).cast("int"))
 
 
-def batch_summary(items: DataFrame, keys: tuple[str, ...] = (), digits: tuple[int, ...] = (3, 6, 9)) -> DataFrame:
+def batch_summary(items: DataFrame, keys: tuple[str, ...] = (), digits: tuple[int, ...] = (5, 10)) -> DataFrame:
     """``count, fail_count, average, p95`` of a batch's ``probability``, a null one being a failure.
 
-    The exact 95th value is found by narrowing down: counts by thousandths say in
-    which of them it lies, then counts by ever smaller cells within it; at last only
-    the distinct values of one cell of 1e-9 are ranked, and at most about 1e7 doubles of that size differ.
+    The exact 95th value is found by narrowing down: counts by cells of 1e-5 say in
+    which of them it lies, then counts by smaller cells within it; at last only the
+    distinct values of one cell of 1e-10 are ranked, of which there are about a million at most.
     """
     named = items.withColumn("_all", F.lit(1))
     by = ["_all", *keys]
