@@ -159,6 +159,37 @@ def test_a_quotation_of_any_length_stays_with_its_sentence():
 
 
 # 4
+def test_articles_in_several_languages_have_their_stretches(spark):
+    from textloom.llm import language_id
+
+    en = "The results of the trial show that the method is not as good as it was in the first year. We do not know why it has been so."
+    de = "Die Ergebnisse der Studie zeigen, dass das Verfahren für große Gärten nicht so gut ist wie im ersten Jahr. Wir wissen nicht, warum es so ist."
+    fr = "Les résultats de l'étude montrent que la méthode n'est pas aussi bonne que dans la première année. Nous ne savons pas pourquoi."
+    model = language_id.fit([("en", en), ("de", de), ("fr", fr)])
+    head = f"\\documentclass{{article}}\n% {fr}\n\\title{{Über}}\n\\begin{{document}}\n\\begin{{abstract}}\n"
+    text = f"{head}{en}\n% {fr}\n\\end{{abstract}}\n\n{de.replace('große', 'gro\u00adße')} {de}\n\\begin{{comment}}\n{fr}\n\\end{{comment}}\n\n{de}\n\\end{{document}}\n% {fr}\n"
+    docs = spark.createDataFrame([("1", "xx", text), ("2", "xx", f"{head}{en}\n\\end{{document}}\n"), ("3", "xx", None)], "item_id string, label string, text string")
+    rows = {(r.item_id, r.segment): r for r in language_id.document_languages(docs, model).collect()}
+    assert {k: r.lang for k, r in rows.items()} == {("1", 0): "de", ("1", 1): "en", ("1", 2): "de", ("2", 0): "en", ("3", 0): None}
+    raw = text.encode()
+    assert (rows["1", 0].start, rows["1", 0].end_offset) == (0, len(raw)) and all(0 < r.confidence <= 1 for r in rows.values() if r.lang)
+    assert raw[rows["1", 1].start : rows["1", 1].end_offset].decode() == en
+    second = raw[rows["1", 2].start : rows["1", 2].end_offset].decode()
+    assert second.startswith("Die Ergebnisse") and second.endswith("warum es so ist.") and text.index(second) > text.index("\\end{abstract}") and "end{document}" not in second
+
+
+def test_places_of_what_an_article_shows():
+    from textloom.llm import structure
+    from textloom.llm.prose import body
+
+    text = "\\usepackage{x}\r\n% é\n\\begin{document}ä % weg 語\n\\iffalse 語 \\fi 語\u200b語\r\n\\input{x}\n\U0001d400 5\\% z\n\\end{document} q"
+    for article in (False, True):
+        at = list(range(len(text)))
+        shown = structure._shown(text, article, at)
+        assert shown == structure._shown(text, article) == "".join(text[i] for i in at)
+    assert body(text) and "語" in body(text) and "weg" not in body(text)
+
+
 def test_grams_of_one_slot_are_all_found(monkeypatch):
     from textloom.llm import language_id
 

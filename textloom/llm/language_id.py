@@ -57,19 +57,6 @@ class Whole(NamedTuple):
     varied: float
 
 
-class Track(NamedTuple):
-    """Running sums over a text's characters: scores by language, and letters."""
-
-    totals: np.ndarray
-    letters: np.ndarray
-
-    def strength(self, start: int, end: int) -> tuple[np.ndarray, int]:
-        """Cosine of a stretch with each prototype, its n-grams taken as distinct, times the root of its size; and its letters."""
-        n = int(self.letters[end] - self.letters[start])
-        cosines = (self.totals[end] - self.totals[start]) / math.sqrt(2 * max(1, n) * DIMENSIONS)
-        return cosines * math.sqrt(min(n, 400)), n
-
-
 class Model(NamedTuple):
     """Known n-grams and their dot products with each prototype."""
 
@@ -115,14 +102,19 @@ class Model(NamedTuple):
         triples = int(np.count_nonzero(at[half:]))
         return Whole(n @ self.scores[place] / length, triples / half, (len(place) + unknown) / half)
 
-    def track(self, grams: Grams) -> Track:
-        """Scores of a text, place by place."""
-        totals = np.zeros((grams.size + 1, len(LANGUAGES)), np.float32)
-        count = np.zeros(grams.size + 1, np.int32)
-        half = len(grams.where)
-        totals[grams.where] = self.scores[grams.at[:half]] + self.scores[grams.at[half:]]
-        count[grams.where] = 1
-        return Track(np.cumsum(totals, axis=0, dtype=np.float64), np.cumsum(count))
+    def strengths(self, grams: Grams, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece of a text: its cosine with each prototype, its n-grams taken as distinct, times the root of its size; and its letters.
+
+        ``bounds`` are the letters before each piece and after the last one.
+        """
+        half, n = len(grams.where), np.diff(bounds)
+        scores = self.scores.take(grams.at[:half], axis=0)
+        scores += self.scores.take(grams.at[half:], axis=0)
+        out, some = np.zeros((len(n), len(LANGUAGES))), np.flatnonzero(n)
+        if len(some):
+            m = n[some]
+            out[some] = np.add.reduceat(scores, bounds[:-1][some], axis=0, dtype=np.float64) * (np.sqrt(np.minimum(m, 400)) / np.sqrt(2.0 * m * DIMENSIONS))[:, None]
+        return out, n
 
 
 def _codes(text: str) -> np.ndarray:
@@ -299,31 +291,33 @@ def main_language(text: str, model: Model, grams: Grams | None = None) -> tuple[
     return LANGUAGES[int(whole.cosines.argmax())], _sure(whole.cosines, 25.0)
 
 
+_WITHIN_LINE = re.compile(r"[^\r\n]")
 _WHOLE_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
-_ROUGH = re.compile(r"[.!?。！？।…؟．]+\s*|\n+|(?<=[฀-๿]) +")
+_ROUGH = re.compile(r"[.!?。！？।…؟．\n](?:(?<=\n)\n*|(?<!\n)[.!?。！？।…؟．]*\s*)")
+_ROUGH_THAI = re.compile(_ROUGH.pattern + r"|(?<=[฀-๿]) +")
+_THAI = re.compile("[฀-๿]")
 
 
 def mixed(text: str, model: Model, main: str, grams: Grams) -> bool:
     """Whether a text may hold sentences in another language than ``main``: some piece between stops is clearly nearer to it."""
-    track, bounds = model.track(grams), [0]
-    letters = track.letters
-    for end in (m.end() for m in _ROUGH.finditer(text)):
-        if letters[end] - letters[bounds[-1]] > 9:
-            bounds.append(end)
-    if letters[-1] > letters[bounds[-1]]:
-        bounds.append(len(text))
+    half, bounds = len(grams.where), [0]  # letters before each bound
+    rough = _ROUGH_THAI if not text.isascii() and _THAI.search(text) else _ROUGH
+    for n in np.searchsorted(grams.where, [m.end() for m in rough.finditer(text)], "right").tolist():
+        if n - bounds[-1] > 9:
+            bounds.append(n)
+    if half > bounds[-1]:
+        bounds.append(half)
     if len(bounds) < 3:
         return False
-    n = np.diff(letters[bounds])
-    parts = np.diff(track.totals[bounds], axis=0) * (np.sqrt(np.minimum(n, 400)) / np.sqrt(2.0 * n * DIMENSIONS))[:, None]
+    parts, _ = model.strengths(grams, np.array(bounds))
     return bool((parts.max(axis=1) - parts[:, LANGUAGES.index(main)]).max() > 0.7)
 
 
-def _other_lines(text: str) -> list[tuple[int, int]]:
-    """Where the lines of lists, tables and junk are in a text, in characters."""
+def _other_lines(text: str, article: bool = False) -> list[tuple[int, int]]:
+    """Where the lines of lists, tables and junk are in a text, in characters; in articles those that are no running text or headings."""
     other: set[str] = set()
     for shape, lines in structure._runs(text):
-        if shape != "neutral" and structure._assign(shape, lines).kind in ("list", "table", "junk"):
+        if shape != "neutral" and ((shape != "plain" or _machine(lines)) if article else structure._assign(shape, lines).kind in ("list", "table", "junk")):
             other.update(lines)
     out = []
     if other:
@@ -333,27 +327,31 @@ def _other_lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def stretches(text: str, model: Model) -> list[tuple[int, int, str, float, int]]:
+def stretches(text: str, model: Model, other: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str, float, int]]:
     """Maximal runs of whole sentences in one language: (start, end, language, confidence, letters), offsets in UTF-8 bytes.
 
     The sequence of languages is the likeliest under a cost for each change, so
-    short headings and names follow their neighbours.  Lists, tables and junk have no say.
+    short headings and names follow their neighbours.  Lists, tables and junk have no say;
+    ``other`` tells where they are, if that is known.
     """
     found = sentences.sentences(text)
     if not found:
         return []
-    track, other = model.track(model.grams(text)), _other_lines(text)
-    scores, sizes, at = np.zeros((len(found), len(LANGUAGES))), [], 0
-    for i, (_, _, s) in enumerate(found):
-        begin = text.index(s, at)
-        at = begin + len(s)
-        outside = sum(max(0, min(b, at) - max(a, begin)) for a, b in other)
-        part, n = track.strength(begin, at)
-        if 2 * outside > len(s) or n < 2 or part.max() < LEAST * math.sqrt(n):
-            sizes.append(0)
-            continue
-        scores[i] = part
-        sizes.append(n)
+    inside = np.zeros(len(text) + 1, np.int32)
+    for a, b in _other_lines(text) if other is None else other:
+        inside[a + 1 : b + 1] = 1
+    inside = np.cumsum(inside)
+    begins, at = [], 0
+    for _, _, s in found:
+        begins.append(text.index(s, at))
+        at = begins[-1] + len(s)
+    begin, size = np.array(begins), np.array([len(s) for _, _, s in found])
+    grams = model.grams(text)
+    # between sentences there are no letters
+    scores, letters = model.strengths(grams, np.append(np.searchsorted(grams.where, begin, "right"), len(grams.where)))
+    mute = (2 * (inside[begin + size] - inside[begin]) > size) | (letters < 2) | (scores.max(axis=1) < LEAST * np.sqrt(letters))
+    scores[mute] = 0
+    sizes = np.where(mute, 0, letters).tolist()
     if not any(sizes):
         return []
     total, back = scores[0].copy(), []
@@ -367,12 +365,13 @@ def stretches(text: str, model: Model) -> list[tuple[int, int, str, float, int]]
         path.append(int(step[path[-1]]))
     path.reverse()
     out: list[tuple[int, int, str, float, int]] = []
-    for (a, b, _), k, size, row in zip(found, path, sizes, scores, strict=True):
+    second, most = np.partition(scores, -2, axis=1)[:, -2:].T
+    for (a, b, _), k, size, first, lead in zip(found, path, sizes, scores.argmax(axis=1).tolist(), (most - second).tolist(), strict=True):
         if not size:
             if out:
                 out[-1] = (out[-1][0], b, *out[-1][2:])
             continue
-        sure = _sure(row, 4.0) if row.argmax() == k else 0.5
+        sure = 1 / (1 + math.exp(-4.0 * lead)) if first == k else 0.5
         if out and out[-1][2] == LANGUAGES[k]:
             out[-1] = (out[-1][0], b, out[-1][2], max(out[-1][3], sure), out[-1][4] + size)
         else:
@@ -380,12 +379,29 @@ def stretches(text: str, model: Model) -> list[tuple[int, int, str, float, int]]
     return out
 
 
+def _places(text: str) -> np.ndarray:
+    """Where each character of a text begins in its UTF-8 bytes, and where the last one ends."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))))
+
+
+def article_stretches(text: str, model: Model) -> list[tuple[int, int, str, float, int]]:
+    """``stretches`` of what an article shows: preamble, comments and markup have no say.  Offsets are those of the whole text."""
+    at = list(range(len(text)))
+    shown = structure._shown(text, True, at)
+    plain = _COMMANDS.sub(lambda m: _WITHIN_LINE.sub(" ", m[0]), shown)
+    found, inside, whole = stretches(plain, model, _other_lines(shown, True)), _places(plain), _places(text)
+    spans = np.searchsorted(inside, [x[:2] for x in found]).tolist()
+    return [(int(whole[at[a]]), int(whole[at[b - 1] + 1]), *rest) for (a, b), (_, _, *rest) in zip(spans, found, strict=True)]
+
+
 RESULT = "item_id string, label string, segment int, lang string, confidence double, start int, end_offset int"
 _SCHEMA = pa.schema([("item_id", pa.string()), ("label", pa.string()), ("segment", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end_offset", pa.int32())])
 
 
 def document_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """``item_id, label, segment, lang, confidence, start, end_offset``: segment 0 of every article, over its whole text.
+    """``item_id, label, segment, lang, confidence, start, end_offset``: segment 0 of every article, over its whole text,
+    and segments 1, 2, ... of articles in several languages.
 
     ``docs``: ``item_id, label, text``; the label is handed on.
     Articles without running text, and blank and null ones, have a null language and confidence 0.
@@ -396,10 +412,9 @@ def document_languages(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows = []
+                rows: list[tuple] = []
                 for key, label, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    lang, sure = main_language(running_text(text, article=True), known.value) if text else (None, 0.0)
-                    rows.append((key, label, 0, lang, sure, 0, len((text or "").encode("utf-8", "surrogatepass"))))
+                    rows += [(key, label, *rest) for rest in _segments(text, known.value, article=True)]
                 yield _batch(rows)
 
     return docs.select("item_id", "label", "text").mapInArrow(run, RESULT)
@@ -425,7 +440,7 @@ def request_languages(requests: DataFrame, model: Model, pairs: encoding_repair.
                 part = batch.slice(at, 1024)
                 rows: list[tuple] = []
                 for key, label, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    rows += [(k, label, *rest) for k, *rest in _request(key, text, fitted, odd)]
+                    rows += [(key, label, *rest) for rest in _segments(text, fitted, odd)]
                 yield _batch(rows)
 
     return requests.select("item_id", "label", "text").mapInArrow(run, RESULT)
@@ -440,23 +455,24 @@ def garbled(text: str, odd: encoding_repair.PairModel) -> bool:
     return any(x[1] > -encoding_repair.PRIOR for _, line in encoding_repair._parts(text) for x in encoding_repair.mend(line, odd)[:1])
 
 
-def _request(key: str, text: str | None, model: Model, odd: encoding_repair.PairModel) -> list[tuple]:
+def _segments(text: str | None, model: Model, odd: encoding_repair.PairModel | None = None, article: bool = False) -> list[tuple]:
+    """(segment, language, confidence, start, end) of a text, and of its stretches where it is in several languages."""
     size = len((text or "").encode("utf-8", "surrogatepass"))
-    if not text or text.isspace() or garbled(text, odd):
-        return [(key, 0, None, 0.0, 0, size)]
-    running = running_text(text)
+    if not text or text.isspace() or odd is not None and garbled(text, odd):
+        return [(0, None, 0.0, 0, size)]
+    running = running_text(text, article)
     grams = model.grams(running)
     lang, sure = main_language(running, model, grams)
     if lang is None:
-        return [(key, 0, None, 0.0, 0, size)]
+        return [(0, None, 0.0, 0, size)]
     if not mixed(running, model, lang, grams):
-        return [(key, 0, lang, sure, 0, size)]
-    parts = stretches(text, model)
+        return [(0, lang, sure, 0, size)]
+    parts = article_stretches(text, model) if article else stretches(text, model)
     letters: dict[str, int] = {}
     for _, _, k, _, n in parts:
         letters[k] = letters.get(k, 0) + n
     if len(letters) < 2:
-        return [(key, 0, lang, sure, 0, size)]
+        return [(0, lang, sure, 0, size)]
     main = max(letters, key=lambda x: (letters[x], x))
     share = letters[main] / sum(letters.values())
-    return [(key, 0, main, share * max(x[3] for x in parts if x[2] == main), 0, size), *((key, i, k, c, a, b) for i, (a, b, k, c, _) in enumerate(parts, 1))]
+    return [(0, main, share * max(x[3] for x in parts if x[2] == main), 0, size), *((i, k, c, a, b) for i, (a, b, k, c, _) in enumerate(parts, 1))]

@@ -28,21 +28,34 @@ _COMMENT_BLOCK = re.compile(r"\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)|\\iff
 _PREAMBLE_LINE = re.compile(r"(?m)^[ \t]*\\(?:documentclass|usepackage|newcommand|renewcommand|providecommand|def|let|input|include|title|author|date|maketitle|bibliographystyle|bibliography|newtheorem|setlength)\b[^\r\n]*")
 
 
-def body(text: str) -> str:
+def less(pattern: re.Pattern, text: str, at: list[int] | None = None) -> str:
+    """``text`` without what ``pattern`` matches; ``at``, where its characters come from, loses the same ones."""
+    if at is not None:
+        kept, last = [], 0
+        for m in pattern.finditer(text):
+            kept += at[last : m.start()]
+            last = m.end()
+        at[:] = kept + at[last:]
+    return pattern.sub("", text)
+
+
+def body(text: str, at: list[int] | None = None) -> str:
     """An article without its preamble and comments; any other text as it is, less comments.
 
     A comment's own line break stays, so lines keep their places in paragraphs.
+    ``at`` is kept as by ``less``.
     """
     if "\\" not in text:
         return text
     m = _BODY.search(text)
     if m:
-        text = text[m.end() :]
-        end = _END.search(text)
-        if end:
-            text = text[: end.start()]
+        end = _END.search(text, m.end())
+        inside = slice(m.end(), end.start() if end else len(text))
+        text = text[inside]
+        if at is not None:
+            at[:] = at[inside]
     if "%" in text:
-        text = _COMMENT.sub("", text)
+        text = less(_COMMENT, text, at)
     if "comment}" in text or "\\iffalse" in text:
-        text = _COMMENT_BLOCK.sub("", text)
-    return _PREAMBLE_LINE.sub("", text)
+        text = less(_COMMENT_BLOCK, text, at)
+    return less(_PREAMBLE_LINE, text, at)

@@ -69,7 +69,7 @@ def p3_canonical(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, root: str) -> DataFrame:
-    """Language and confidence of every request and document, and of each stretch of mixed requests."""
+    """Language and confidence of every request and document, and of each stretch of mixed ones."""
     asked = _texts(spark, root, "detect_requests", "request_id", "language").where("request_id is not null").select(F.col("request_id").alias("item_id"), F.col("language").alias("label"), "text")
     docs = _texts(spark, root, "documents", "doc_id", "lang").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
     model = language_id.fit(language_id.sample(asked, "label"))
@@ -81,8 +81,8 @@ def p4_languages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Main language of items whose label is missing or wrong, and the stretches of mixed requests."""
-    rows = p4_languages(spark, root).where("lang is not null")
+    """Main language of items whose label is missing or wrong, and the stretches of mixed requests; those of documents aren't asked for."""
+    rows = p4_languages(spark, root).where("lang is not null and (segment = 0 or origin = 'detect_requests')")
     named = language_id.label_of(F.col("label"))
     return rows.where((F.col("segment") > 0) | named.isNull() | (named != F.col("lang"))).select("origin", "item_id", "segment", "lang")
 

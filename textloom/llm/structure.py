@@ -21,7 +21,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.prose import FUNCTION_WORDS, UNSPACED, body
+from textloom.llm.prose import FUNCTION_WORDS, UNSPACED, body, less
 
 KINDS = ("prose", "list", "table", "junk")
 #: Share of character classes in prose: letters, digits, spaces, sentence marks, others (fixed values).
@@ -378,9 +378,9 @@ def is_junk(text: str, article: bool = False) -> bool:
     return _decide(runs) == "junk"
 
 
-def _shown(text: str, article: bool) -> str:
-    """What a reader sees of a text: no preamble, comments and characters that don't show."""
-    return _HIDDEN.sub("", body(text) if article else text)
+def _shown(text: str, article: bool, at: list[int] | None = None) -> str:
+    """What a reader sees of a text: no preamble, comments and characters that don't show; ``at`` is kept as by ``less``."""
+    return less(_HIDDEN, body(text, at) if article else text, at)
 
 
 def _decide(runs: list[Run]) -> str:
