@@ -121,6 +121,23 @@ def test_restored_lines(spark):
     assert row.text == "sound \x00 line\r\nmended\rlast" and row.chains == ["a>b"] and not row.lost
 
 
+def test_pairs_beyond_those_held_count_in_full(spark):
+    from textloom.llm import encoding_repair as repair, language_id
+
+    ru, zh, de = "Результаты работы показывают, что метод не так хорош.", "研究的结果表明这个方法不如第一年的好", "Die Prüfung der größeren Gärten führt zu schönen Erträgen."
+    garbled = [ru.encode("utf-8").decode("latin_1"), ru.encode("cp1251").decode("koi8_r"), de.encode("utf-8").decode("cp1252"), zh.encode("gb18030").decode("big5", "replace"), f"{de} {'größer'.encode().decode('cp1252')}"]
+    rows = [(f"{k}{i}", "s", "f", t) for i in range(9) for k, t in (("ru", ru), ("zh", zh), ("de", de))] + [(f"x{i}", "s", "f", t) for i, t in enumerate(garbled)] + [("n", "s", "f", None), ("a", "s", "f", "plain")]
+    records = spark.createDataFrame(rows, "request_id string, source string, field string, text string")
+    whole, few = repair.fit_pairs(records), repair.fit_pairs(records, pairs_kept=5)
+    assert whole.rest is None and len(few.pairs) == 5 and few.rest.count() == len(whole.pairs) - 5
+    want, got = ({(r.request_id, r.line, r.chain, r.gain, r.original) for r in repair.evidence(records, x).where("request_id is not null").collect()} for x in (whole, few))
+    assert want == got and {"x0", "x1", "x2"} <= {x[0] for x in got}
+    model = language_id.fit([("ru", ru), ("zh", zh), ("de", de)])
+    asked = records.selectExpr("request_id as item_id", "null as label", "text")
+    want, got = (sorted(language_id.request_languages(asked, model, x).collect(), key=str) for x in (whole, few))
+    assert want == got
+
+
 # 3
 def test_outlines_are_coarser_than_the_collation(spark):
     import unicodedata

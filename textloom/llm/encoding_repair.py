@@ -89,6 +89,7 @@ class PairCounts(NamedTuple):
     pairs: dict[str, int]
     first: dict[str, int]
     char: dict[str, int]
+    rest: DataFrame | None = None  # ``pair, n`` of all other pairs, where there are more than are held
 
     @classmethod
     def of(cls, pairs: dict[str, int]) -> PairCounts:
@@ -104,7 +105,8 @@ class PairModel:
     """Logarithms of P(second | first) of character pairs with a character beyond ASCII."""
 
     def __init__(self, counts: PairCounts | dict[str, int]):
-        self.pairs, self.first, self.char = counts if isinstance(counts, PairCounts) else PairCounts.of(counts)
+        self.pairs, self.first, self.char, _ = counts if isinstance(counts, PairCounts) else PairCounts.of(counts)
+        self.rest: dict[str, int] = {}  # of the pairs that aren't held, those of the record at hand (``with_rest``)
         self.total = sum(self.char.values()) + 1
         self.known: dict[str, float] = {}
         self.told: dict[str, list[tuple[str, float, str]]] = {}
@@ -114,7 +116,7 @@ class PairModel:
         if value is None:
             # a character's own share stands in for the pairs it lacks
             share = (self.char.get(pair[1], 0) + 0.0001) / self.total
-            value = math.log((self.pairs.get(pair, 0) + 50 * share) / (self.first.get(pair[0], 0) + 50))
+            value = math.log(((self.pairs.get(pair) or self.rest.get(pair, 0)) + 50 * share) / (self.first.get(pair[0], 0) + 50))
             self.known[pair] = value
         return value
 
@@ -128,10 +130,10 @@ class PairModel:
         if _SUSPECT.search(line):
             return True
         rare, most = 0, max(1, self.total * 1e-7)
-        count = self.pairs.get
+        held, rest = self.pairs.get, self.rest.get
         runs = _HAN.findall(line)
         for run in runs:
-            rare += sum(count(a + b, 0) <= most for a, b in zip(run, run[1:]))
+            rare += sum((held(a + b) or rest(a + b, 0)) <= most for a, b in zip(run, run[1:]))
         return 2 * rare > sum(map(len, runs)) > 0
 
     def of(self, text: str) -> float:
@@ -143,6 +145,25 @@ class PairModel:
         return total
 
 
+class _Asking(PairModel):
+    """Collects the pairs, beyond those held, that explaining a line may look up."""
+
+    def __init__(self, counts: PairCounts):
+        super().__init__(counts)
+        self.asked: set[str] = set()
+
+    def _ask(self, runs: list[str]) -> None:
+        self.asked.update(pair for run in runs for pair in map(str.__add__, run, run[1:]) if pair not in self.pairs)
+
+    def of(self, text: str) -> float:
+        self._ask(_HIGH.findall(text))
+        return 0.0
+
+    def suspects(self, line: str) -> bool:
+        self._ask(_HAN.findall(line))
+        return super().suspects(line)  # pairs that aren't held pass for rare, so no line is missed
+
+
 def undo(text: str, written: str, read: str) -> str | None:
     """``text`` as it was before its ``written`` bytes were read as ``read``; null if it can't have been."""
     raw = _as_bytes(text, read)
@@ -253,15 +274,47 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def fit_pairs(texts: DataFrame, column: str = "text", pairs_kept: int = 300_000) -> PairCounts:
-    """The commonest pairs of ``count_pairs``, and every character's counts over all pairs.
+    """The pairs of ``count_pairs``, and every character's counts over all pairs, of which there are no more than characters.
 
-    ``pairs_kept`` bounds what is broadcast; rarer pairs fall back to their
-    characters' counts, of which there are no more than characters.
+    ``pairs_kept`` bounds what is broadcast, the commonest pairs; the counts of all
+    others stay in the table ``rest``, from which ``with_rest`` fetches them.
     """
     counted = cut(count_pairs(texts, column).where("pair is not null"))
-    rows = counted.orderBy(F.desc("n"), "pair").limit(pairs_kept).collect()
+    rows = counted.orderBy(F.desc("n"), "pair").limit(pairs_kept + 1).collect()
+    rest = None
+    if len(rows) > pairs_kept:
+        least = rows.pop()
+        rest = counted.where((F.col("n") < least.n) | (F.col("n") == least.n) & (F.col("pair") >= least.pair))
     single = lambda place: {r.c: r.n for r in counted.groupBy(F.substring("pair", place, 1).alias("c")).agg(F.sum("n").alias("n")).collect()}
-    return PairCounts({r.pair: r.n for r in rows}, single(1), single(2))
+    return PairCounts({r.pair: r.n for r in rows}, single(1), single(2), rest)
+
+
+def with_rest(records: DataFrame, key: str, pairs: PairCounts) -> DataFrame:
+    """``records`` with ``rest``: the counts of the pairs that explaining a record's ``text`` may look up and that aren't held.
+
+    Only where ``pairs`` doesn't hold all are the lines' pairs sent to the counts and back.
+    """
+    if pairs.rest is None:
+        return records.withColumn("rest", F.lit(None).cast("map<string,bigint>"))
+    known = records.sparkSession.sparkContext.broadcast(pairs._replace(rest=None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, keys, asked = _Asking(known.value), [], []
+        for batch in batches:
+            for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                model.asked.clear()
+                model.told.clear()
+                for _, line in _parts(text or ""):
+                    mend(line, model)
+                keys += [k] * len(model.asked)
+                asked += model.asked
+                if len(keys) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(asked, pa.string())], names=[key, "pair"])
+                    keys, asked = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(asked, pa.string())], names=[key, "pair"])
+
+    found = records.select(key, "text").mapInArrow(run, f"{key} string, pair string").join(pairs.rest, "pair")
+    return records.join(found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("pair", "n"))).alias("rest")), key, "left")
 
 
 EVIDENCE = pa.schema([
@@ -280,16 +333,17 @@ def evidence(records: DataFrame, pairs: PairCounts) -> DataFrame:
     characters may be of chain ``lost``.  Rows of chain ``none`` count all lines with
     a character beyond ASCII, ``line`` of them, of a source and field.
     """
-    known = records.sparkSession.sparkContext.broadcast(pairs)
+    known = records.sparkSession.sparkContext.broadcast(pairs._replace(rest=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PairModel(known.value)
         for batch in batches:
             out: list[tuple] = []
             lines: Counter = Counter()
-            for rid, source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, source, field, text, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text or text.isascii():
                     continue
+                model.rest = dict(rest or ())
                 for i, line in _parts(text):
                     lines[source, field] += 1
                     found = mend(line, model)
@@ -304,7 +358,7 @@ def evidence(records: DataFrame, pairs: PairCounts) -> DataFrame:
             out.extend((source, field, None, n, NONE, 0.0, 0.0, 0.0, None) for (source, field), n in lines.items())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(EVIDENCE), EVIDENCE, strict=True)], schema=EVIDENCE)
 
-    return records.select("request_id", "source", "field", "text").mapInArrow(
+    return with_rest(records, "request_id", pairs).select("request_id", "source", "field", "text", "rest").mapInArrow(
         run, "source string, field string, request_id string, line int, chain string, gain double, share double, total double, original string"
     )
 

@@ -430,7 +430,7 @@ def request_languages(requests: DataFrame, model: Model, pairs: encoding_repair.
 
     Texts in a wrong encoding (told with the pair model ``pairs``) have a null language.
     """
-    known = requests.sparkSession.sparkContext.broadcast((model, pairs))
+    known = requests.sparkSession.sparkContext.broadcast((model, pairs._replace(rest=None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, counts = known.value
@@ -439,11 +439,12 @@ def request_languages(requests: DataFrame, model: Model, pairs: encoding_repair.
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows: list[tuple] = []
-                for key, label, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for key, label, text, counted in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    odd.rest = dict(counted or ())
                     rows += [(key, label, *rest) for rest in _segments(text, fitted, odd)]
                 yield _batch(rows)
 
-    return requests.select("item_id", "label", "text").mapInArrow(run, RESULT)
+    return encoding_repair.with_rest(requests, "item_id", pairs).select("item_id", "label", "text", "rest").mapInArrow(run, RESULT)
 
 
 def garbled(text: str, odd: encoding_repair.PairModel) -> bool:
