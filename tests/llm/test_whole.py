@@ -1,5 +1,7 @@
 """Cases that shortcuts of the training-data operators missed."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -138,6 +140,58 @@ def test_pairs_beyond_those_held_count_in_full(spark):
     assert want == got
 
 
+def test_worse_chains_are_dropped_at_their_first_pairs():
+    from textloom.llm import encoding_repair as repair
+
+    line = "├" + "".join(chr(0x4E00 + 7 * i) for i in range(2000))
+    model = repair.PairModel({a + b: 40 for a, b in zip(line, line[1:])})
+    assert not repair.mend(line, model) and len(model.known) < 2 * len(line)  # the line's own pairs and the first few of each chain
+
+
+class _ToTheEnd:
+    """A pair model that adds up every text to its end."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __getattr__(self, name):
+        return getattr(self.model, name)
+
+    def of(self, text, least=None):
+        return self.model.of(text)
+
+
+def test_dropping_chains_changes_no_explanation():
+    from textloom.llm import encoding_repair as repair
+
+    texts = [
+        "Результаты работы показывают, что метод не так хорош.", "研究的结果表明这个方法不如第一年的好", "Die Prüfung der größeren Gärten führt zu schönen Erträgen.", "La muestra pequeña y la mayoría de los años",
+        "研究の結果はこの方法が良くないことを示している", "على الرغم من ذلك", "ผลการวิจัย", "naïve “quotes” – fine",
+    ]
+    pairs = Counter(a + b for t in texts * 30 for a, b in zip(t, t[1:]) if max(a, b) > "\x7f")
+    model, n = repair.PairModel(pairs), 0
+    for text in texts:
+        for written in repair.WRITTEN:
+            for read in repair.READ:
+                line = text.encode(written, "ignore").decode(read, "replace")
+                want = repair.mend(line, _ToTheEnd(repair.PairModel(pairs)))
+                assert repair.mend(line, model) == want
+                n += bool(want)
+    assert n > 100
+    # the same pairs in another place are no gain, whatever the order they are added up in
+    half = "a pequeña y la mayoría de los año a peque¤a y la mayor¡a de los a¤o"
+    assert all(gain > 1 for _, gain, _ in repair.mend(half, model)) and repair.mend(half, model)[0][2].count("pequeña") == 2
+
+
+@pytest.mark.parametrize("sign", ["\x85", "\ufffd", "é©", "Ã\xad", "ж¤", "éàü", "aÉ", "a„a", "жЖ", "aж", "жa", "aά", "中ｱ", "€中"])
+def test_signs_of_wrong_decoding(sign):
+    from textloom.llm import encoding_repair as repair
+
+    model = repair.PairModel({})
+    assert model.suspects(sign) and model.suspects(f"Ein Satz (при) {sign} 研究 “so”.")
+    assert not model.suspects("Ein größerer Satz – при Этом, „so“ und 研究の结果 5 € für 3 × 4 °C, άa.")
+
+
 # 3
 def test_outlines_are_coarser_than_the_collation(spark):
     import unicodedata

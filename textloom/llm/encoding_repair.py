@@ -16,10 +16,12 @@ them on every line costs many times as much.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import concat
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +39,8 @@ _WIDE = ("gb18030", "big5", "shift_jis", "euc_jp")
 NONE, LOST = "none", "lost"
 #: Natural logarithm of the odds of a chain before any evidence, where expectation-maximization starts; per further step the same again.
 PRIOR = -6.0
+#: Gains up to this are none: the same pairs added up in another order.
+ROUNDING = 1e-6
 _PIECES = re.compile(r"\S+")
 _LINES = re.compile(r"(\r\n|\r|\n)")
 #: Runs without letters of the scripts that are never a single-byte misreading.
@@ -47,40 +51,49 @@ _REPLACED = re.compile("\ufffd")
 _ALIKE = ("аАеЕоОрРсСхХуУіІјЈѕЅһВНКМТвнкмтгпиΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναρικτυ", "aAeEoOpPcCxXyYiIjJsShBHKMTBHKMTrnuABEZHIKMNOPTYXovapiktu")
 _TO_LATIN = str.maketrans(*_ALIKE)
 _TO_CYRILLIC = str.maketrans("aAeEoOpPcCxXyYBHKMTiIsSjJ", "аАеЕоОрРсСхХуУВНКМТіІѕЅјЈ")
-_LOWER, _UPPER, _ODD = "a-zà-öø-ÿ", "À-ÖØ-ÞŠŒŽŸ", "ЂЃђѓЄєЉЊЌЋЏЎљњќћџўҐґ"
+#: Letters and symbols for ``_SIGN`` and ``_MIXED``.
+_LOWER, _UPPER, _ODD, _ACCENTED = "a-zà-öø-ÿ", "À-ÖØ-ÞŠŒŽŸ", "ЂЃђѓЄєЉЊЌЋЏЎљњќћџўҐґ", "À-ÖØ-öø-ÿ"
+_ALONE, _CAPITAL, _KANA = "\x80-\x9f\ufffd\u2500-\u25ff\ue000-\uf8ff" + _ODD, "А-ЯЀ-Џ", "ｦ-ﾟ€"
+_INNER = "‚ƒ„…†‡ˆ‰‹‘“”•–—˜™›œž"
+_AFTER_ACCENT = "\xa1-\xac\xae-\xbf×÷€’šŒŠŽŸ" + _INNER
+_AFTER_LETTER = "¡-§©-ª¬®-¶¸-¹¼-¿×÷√∂∑∏∫≈∆◊ˇ˘˙˚˛˝≤≥≠∞"
+_OTHER = "бджзйлфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯΓΔΘΛΞΠΣΦΨΩβδεζθλμξπσφψω"
 #: What a wrongly decoded line shows and a sound one hardly does: stray controls
-#: and frames, symbols stuck to letters, capitals within words, mixed scripts.
-_SUSPECT = re.compile(
-    "[\x80-\x9f\ufffd\u2500-\u25ff\ue000-\uf8ff" + _ODD + "]"
-    "|[À-ÖØ-öø-ÿ][\xa1-\xac\xae-\xbf×÷€‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™›œžšŒŠŽŸ]|Ã[\xa0\xad]"
-    "|[^\\W\\d_][¡-§©-ª¬®-¶¸-¹¼-¿×÷√∂∑∏∫≈∆◊ˇ˘˙˚˛˝≤≥≠∞]"
-    "|[À-ÖØ-öø-ÿ]{3}"
-    f"|[{_LOWER}][{_UPPER}]|[{_LOWER}][‚ƒ„…†‡ˆ‰‹‘“”•–—˜™›œž][{_LOWER}]"
-    "|[а-џ][А-ЯЀ-Џ]"
-    "|[A-Za-z][бджзйлфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯΓΔΘΛΞΠΣΦΨΩβδεζθλμξπσφψωάέήίόύώ]|[бджзйлфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯΓΔΘΛΞΠΣΦΨΩβδεζθλμξπσφψω][A-Za-z]"
-    "|[一-鿿][ｦ-ﾟ€]|[ｦ-ﾟ€][一-鿿]"
+#: and frames, symbols stuck to letters, capitals within words.  The class that
+#: begins it holds the character each sign ends at or turns on, rare in most texts,
+#: so that a search skips all others.
+_SIGN = re.compile(
+    f"[{_ALONE}\xa0\xad{_AFTER_ACCENT}{_AFTER_LETTER}{_ACCENTED}{_UPPER}{_INNER}{_CAPITAL}{_KANA}]"
+    f"(?:(?<=[{_ALONE}])|(?<=[{_ACCENTED}][{_AFTER_ACCENT}])|(?<=Ã[\xa0\xad])"
+    f"|(?<=[^\\W\\d_][{_AFTER_LETTER}])"
+    f"|(?<=[{_ACCENTED}]{{3}})"
+    f"|(?<=[{_LOWER}][{_UPPER}])|(?<=[{_LOWER}][{_INNER}])(?=[{_LOWER}])"
+    f"|(?<=[а-џ][{_CAPITAL}])"
+    f"|(?<=[一-鿿][{_KANA}])|(?<=[{_KANA}])(?=[一-鿿]))"
 )
+#: The same of mixed scripts, for lines that have Latin letters.
+_MIXED = re.compile(f"[{_OTHER}άέήίόύώ](?:(?<=[A-Za-z].)|(?<=[{_OTHER}])(?=[A-Za-z]))")
+_LATIN = re.compile("[A-Za-z]")
 _HAN = re.compile("[一-鿿가-힣]{4,}")
 
 
+def _controls(error: UnicodeError) -> tuple[bytes, int]:
+    """Bytes without a character in a code page were passed through as controls."""
+    lacking = error.object[error.start : error.end]
+    if all("\x80" <= c <= "\x9f" for c in lacking):
+        return lacking.encode("latin_1"), error.end
+    raise error
+
+
+codecs.register_error("textloom.controls", _controls)
+
+
 def _as_bytes(text: str, read: str) -> bytes | None:
     """The bytes that ``read`` turned into ``text``; null where it can't have."""
     try:
-        return text.encode(read)
+        return text.encode(read, "textloom.controls" if read in ("cp1252", "cp1250", "cp1251") else "strict")
     except UnicodeEncodeError:
-        pass
-    if read not in ("cp1252", "cp1250", "cp1251"):
         return None
-    # bytes without a character in the code page are passed through as controls
-    out = bytearray()
-    for c in text:
-        try:
-            out += c.encode(read)
-        except UnicodeEncodeError:
-            if not "\x80" <= c <= "\x9f":
-                return None
-            out.append(ord(c))
-    return bytes(out)
 
 
 class PairCounts(NamedTuple):
@@ -101,6 +114,27 @@ class PairCounts(NamedTuple):
         return cls(pairs, first, char)
 
 
+class _Runs(dict):
+    """Values of short runs of characters, which come back in many texts: kept once worked out, up to a number that bounds memory."""
+
+    KEPT, SHORT = 200_000, 8
+
+    def __init__(self, value: Callable[[str], float]):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, run: str) -> float:
+        value = self.value(run)
+        if len(self) < self.KEPT:
+            self[run] = value
+        return value
+
+
+def _shows_sign(text: str) -> bool:
+    """Whether a text shows what wrongly decoded ones do."""
+    return bool(_SIGN.search(text) or _LATIN.search(text) and _MIXED.search(text))
+
+
 class PairModel:
     """Logarithms of P(second | first) of character pairs with a character beyond ASCII."""
 
@@ -108,7 +142,10 @@ class PairModel:
         self.pairs, self.first, self.char, _ = counts if isinstance(counts, PairCounts) else PairCounts.of(counts)
         self.rest: dict[str, int] = {}  # of the pairs that aren't held, those of the record at hand (``with_rest``)
         self.total = sum(self.char.values()) + 1
+        self.rare = max(1, self.total * 1e-7)
+        self.common = {pair for pair, n in self.pairs.items() if n > self.rare}
         self.known: dict[str, float] = {}
+        self.runs = _Runs(self.of_run)
         self.told: dict[str, list[tuple[str, float, str]]] = {}
 
     def of_pair(self, pair: str) -> float:
@@ -127,21 +164,41 @@ class PairModel:
 
     def suspects(self, line: str) -> bool:
         """Whether a line is worth an explanation: it shows a sign, or most of its ideographs are rare neighbours."""
-        if _SUSPECT.search(line):
+        if _shows_sign(line):
             return True
-        rare, most = 0, max(1, self.total * 1e-7)
-        held, rest = self.pairs.get, self.rest.get
+        rare, most, common, rest = 0, self.rare, self.common, self.rest
         runs = _HAN.findall(line)
         for run in runs:
-            rare += sum((held(a + b) or rest(a + b, 0)) <= most for a, b in zip(run, run[1:]))
+            if rest:
+                rare += sum(pair not in common and rest.get(pair, 0) <= most for pair in map(concat, run, run[1:]))
+            else:
+                rare += len(run) - 1 - sum(map(common.__contains__, map(concat, run, run[1:])))
         return 2 * rare > sum(map(len, runs)) > 0
 
-    def of(self, text: str) -> float:
+    def of_run(self, run: str) -> float:
+        """The sum over the pairs of a run."""
         total, of_pair, known = 0.0, self.of_pair, self.known
-        for run in _HIGH.findall(text):
-            for a, b in zip(run, run[1:]):
-                pair = a + b
-                total += known[pair] if pair in known else of_pair(pair)
+        for pair in map(concat, run, run[1:]):
+            total += known[pair] if pair in known else of_pair(pair)
+        return total
+
+    def of(self, text: str, least: float = -math.inf) -> float:
+        """The logarithm of a text's probability; where that isn't above ``least``, any number that isn't.
+
+        No pair adds to it, so a sum that has come down to ``least`` needs no more of the text.
+        """
+        total, value = 0.0, self.runs.__getitem__
+        for found in _HIGH.finditer(text):
+            run = found[0]
+            if len(run) <= _Runs.SHORT:
+                total += value(run)
+                if total <= least:
+                    break
+                continue
+            for at in range(0, len(run) - 1, 32):
+                total += self.of_run(run[at : at + 33])
+                if total <= least:
+                    return total
         return total
 
 
@@ -155,7 +212,7 @@ class _Asking(PairModel):
     def _ask(self, runs: list[str]) -> None:
         self.asked.update(pair for run in runs for pair in map(str.__add__, run, run[1:]) if pair not in self.pairs)
 
-    def of(self, text: str) -> float:
+    def of(self, text: str, least: float = -math.inf) -> float:
         self._ask(_HIGH.findall(text))
         return 0.0
 
@@ -178,8 +235,10 @@ def undo(text: str, written: str, read: str) -> str | None:
 
 def explanations(line: str, model: PairModel, depth: int = 2) -> list[tuple[str, float, str]]:
     """(chain, gain, original): the chains that may lie behind ``line``, and how much likelier each makes it."""
-    now = max(model.of(line), model.of(line.translate(_TO_LATIN)), model.of(line.translate(_TO_CYRILLIC)))
-    out, seen = [], {}
+    now = model.of(line)
+    for alike in (_TO_LATIN, _TO_CYRILLIC):
+        now = max(now, model.of(line.translate(alike), now))
+    least, out, seen = now + ROUNDING, [], {}
     for read in READ:
         raw = _as_bytes(line, read)
         if raw is None or raw in seen:
@@ -194,12 +253,14 @@ def explanations(line: str, model: PairModel, depth: int = 2) -> list[tuple[str,
                 continue
             if was == line:
                 continue
-            gain = model.of(was) - now
-            if depth > 1 and not was.isascii() and written == "utf-8":
+            again = depth > 1 and not was.isascii() and written == "utf-8"
+            value = model.of(was, -math.inf if again else least)
+            gain = value - now
+            if again:
                 for chain, more, first in explanations(was, model, depth - 1):
                     if more > 3:
                         out.append((f"{written}>{read}+{chain}", gain + more, first))
-            if gain > 0:
+            if value > least:
                 out.append((f"{written}>{read}", gain, was))
     return out
 
@@ -215,12 +276,12 @@ def mend(line: str, model: PairModel) -> list[tuple[str, float, str]]:
     """Chains of a line; where none fits the whole line, chains of its words, all others kept."""
     if not model.suspects(line):
         return []
-    whole = [x for x in explanations(line, model) if x[1] > 0]
+    whole = [x for x in explanations(line, model) if x[1] > ROUNDING]
     if whole:
         return sorted(whole, key=lambda x: (-x[1], x[0]))
     mended: dict[str, tuple[float, dict[str, str]]] = {}
     for piece in {x for pattern in (_PIECES, _NARROW) for x in pattern.findall(line)}:
-        if piece.isascii() or not _SUSPECT.search(piece):
+        if piece.isascii() or not _shows_sign(piece):
             continue
         if piece not in model.told:
             model.told[piece] = explanations(piece, model)
