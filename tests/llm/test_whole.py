@@ -1,5 +1,7 @@
 """Cases that shortcuts of the training-data operators missed."""
 
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -269,3 +271,75 @@ def test_grams_of_one_slot_are_all_found(monkeypatch):
     keys = model.keys[1:]
     assert len(keys) > 500 and (model._found(keys) == np.arange(1, len(keys) + 1)).all()
     assert not model._found(keys + (1 << 52)).any()
+
+
+def test_long_prose_is_counted_once(monkeypatch):
+    from textloom.llm import language_id
+
+    shares = language_id.FUNCTION_WORDS["en"]
+    words = [*shares, *"plan trial year method garden result study winter plant table number water house north summer market letter river paper story".split()]
+    odds = [*shares.values(), *[(1 - sum(shares.values())) / 20] * 20]
+    pick = np.random.default_rng(3).choice(len(words), (200, 15), p=odds)
+    text = " ".join(" ".join(words[i] for i in row).capitalize() + "." for row in pick)
+    model = language_id.fit([("en", text)])
+    assert model.whole(model.grams(text)).varied < 0.1 and language_id._sound(text) is text
+    # a text with other runs, or blank lines only, besides
+    noise = "x7#k!q0$z@9^w*3&v5~j8;" * 40
+    assert language_id._sound(f"{text}\n\n{noise}") == text and language_id._sound(f"{text}\n \n{text}") == f"{text}\n \n{text}"
+    calls, grams = [], language_id.Model.grams
+    monkeypatch.setattr(language_id.Model, "grams", lambda self, t: calls.append(t) or grams(self, t))
+    assert language_id.main_language(text, model)[0] == "en" and calls == [text]
+    assert language_id.main_language(f"{text}\n\n{noise}", model) == language_id.main_language(text, model) and text in calls[2:]
+
+
+#: The same markup in one pattern, tried at every place.
+_MARKUP = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|input|include|bibitem|begin|end|url|href|usepackage)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*|\$\$?[^$]{0,400}\$\$?|\\[A-Za-z]+\*?|\b\w+=|https?:\S+")
+
+
+def test_markup_is_found_by_its_rare_characters():
+    from textloom.llm import language_id
+
+    bits = ["a", "é_1", "\\cite[x=1]{y}", "\\ref", "\\alpha", "1=", "=", "$", "$$", "x=$y$z=", "https://a.b?x=1 ", "xhttp:=", "http=", " ", "\n", "{", "}", "[", "²=", "\u0301="]
+    rng = np.random.default_rng(5)
+    for size in [2, 3, 5, 9, 30] * 400:
+        text = "".join(bits[i] for i in rng.integers(0, len(bits), size))
+        assert language_id._without_markup(text) == _MARKUP.sub(" ", text)
+        assert language_id._blanked(text) == _MARKUP.sub(lambda m: re.sub(r"[^\r\n]", " ", m[0]), text)
+    text = "Die Ergebnisse der Studie zeigen, dass es nicht so gut ist wie im ersten Jahr. " * 3000 + "x=1"
+
+    def cost(f):
+        spent = []
+        for _ in range(5):
+            start = time.process_time()
+            f(text)
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert cost(language_id._without_markup) < 0.67 * cost(lambda t: _MARKUP.sub(" ", t))
+
+
+def test_shortcuts_of_counts_change_none():
+    from textloom.llm import encoding_repair as repair, language_id
+
+    prose = ["Größere Gärten, „so“ 12 über 3; und é!", "研究の結果は、この方法が良くない。１２", "The plan (no. 4) was: “good”?", "यह योजना अच्छी ऽ नहीं है।", "Это был план др. и других", "\U0001d400 x"]
+    for a in prose:
+        for b in prose:
+            text = f"{a} {b}\n" * 12
+            words = structure._TOKENS.findall(text.lower())
+            digits, marks, blanks = len(structure._DIGITS.findall(text)), len(structure._PUNCTUATION.findall(text)), text.count(" ") + text.count("\n")
+            assert structure._counted(text, False) == (words, sum(map(len, words)) - digits, digits, blanks, marks) or text.isascii()
+            assert text.isascii() or structure._counted(text, True) == ([], len(text) - marks - digits - blanks, digits, blanks, marks)
+            assert repair.may_be_suspect(text) or not any(repair.PairModel({}).suspects(x) for x in text.split("\n"))
+    model = language_id.fit([("de", prose[0]), ("ja", prose[1]), ("en", prose[2]), ("hi", prose[3]), ("ru", prose[4])])
+    numbers = np.arange(len(model.letters))
+    assert (model.letters[1:] == model._found(numbers[1:])).all() and model.letters[0] == 0 and model.letters.any()
+    for tokens, rest in ((40, 0), (12, 28), (11, 29), (13, 400)):  # few distinct runs of words, early or late
+        text = " ".join([f"w{i}" for i in range(tokens)] + ["so"] * rest)
+        for t in (text, text[::-1]):
+            parts = t.split()
+            rate = len({tuple(parts[i : i + 5]) for i in range(len(parts) - 4)}) / (len(parts) - 4)
+            assert structure._repeated(t) == max(0.0, min(1.0, (0.30 - rate) / 0.15))
+    # pieces of two languages, as near to the limit as may be: short sums decide nothing that exact ones wouldn't
+    grams, some = model.grams(" ".join(prose) * 20), [0, 40, 90, 400, 700]
+    short, exact = (model.strengths(grams, np.array(some), x)[0] for x in (np.float32, np.float64))
+    assert (abs(short - exact) < 2e-6 * np.diff(some)[:, None] ** 1.5).all()

@@ -135,6 +135,11 @@ def _shows_sign(text: str) -> bool:
     return bool(_SIGN.search(text) or _LATIN.search(text) and _MIXED.search(text))
 
 
+def may_be_suspect(text: str) -> bool:
+    """False where no line of a text can be one of ``PairModel.suspects``."""
+    return _shows_sign(text) or bool(_HAN.search(text))
+
+
 class PairModel:
     """Logarithms of P(second | first) of character pairs with a character beyond ASCII."""
 

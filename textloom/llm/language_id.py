@@ -38,7 +38,9 @@ SPELLINGS = {
 #: Labels that name no single language (fixed values).
 NO_LANGUAGE = ["", "??", "?", "-", "auto", "mul", "mis", "und", "zxx", "unknown", "n/a", "na", "none", "null", "other"]
 
-_COMMANDS = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|input|include|bibitem|begin|end|url|href|usepackage)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*|\$\$?[^$]{0,400}\$\$?|\\[A-Za-z]+\*?|\b\w+=|https?:\S+")
+#: Commands, formulas and addresses; an equals sign stands for the word before it, which goes too (``_markup``).
+#: Each begins with one of four characters, so that a search skips all others.
+_COMMANDS = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|input|include|bibitem|begin|end|url|href|usepackage)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*|\$\$?[^$]{0,400}\$\$?|\\[A-Za-z]+\*?|https?:\S+|=")
 
 
 class Grams(NamedTuple):
@@ -64,12 +66,13 @@ class Model(NamedTuple):
     keys: np.ndarray
     slots: np.ndarray
     scores: np.ndarray  # one row per key, after a row of zeros
+    letters: np.ndarray  # the place of each letter, by its number
 
     def _found(self, keys: np.ndarray) -> np.ndarray:
         """Places in ``keys``, plus 1, of n-grams; 0 for those unknown."""
         slot = _slot(keys)
-        at = self.slots[slot]
-        odd = self.keys[at] != keys
+        at = self.slots.take(slot)
+        odd = self.keys.take(at) != keys
         todo = np.flatnonzero(odd & (at > 0))
         at[odd] = 0
         step = 1
@@ -84,9 +87,10 @@ class Model(NamedTuple):
     def grams(self, text: str) -> Grams:
         """A text's letters and letter triples, found once for both uses below."""
         number, place, size = _numbers(text, self.number)
-        letter = np.flatnonzero(number[1:-1])
-        at = self._found(np.concatenate((number[1:-1][letter], _triples(number)[letter])))
-        return Grams(at, place[letter] + 1, size)
+        inner = number[1:-1]
+        letter = np.flatnonzero(inner > 0)
+        at = np.concatenate((self.letters.take(inner.take(letter)), self._found(_triples(number).take(letter))))
+        return Grams(at, place.take(letter) + 1, size)
 
     def whole(self, grams: Grams) -> Whole:
         """A text against every prototype."""
@@ -95,17 +99,17 @@ class Model(NamedTuple):
             return Whole(np.zeros(len(LANGUAGES)), 0.0, 0.0)
         counts = np.bincount(at, minlength=1)
         unknown = int(counts[0])
-        place = np.flatnonzero(counts)
-        n = counts[place].astype(np.float32)
+        place = np.flatnonzero(counts > 0)
+        n = counts.take(place).astype(np.float32)
         # unknown n-grams count as distinct ones
         length = math.sqrt((float((n.astype(np.float64) ** 2).sum()) - unknown**2 + unknown) * DIMENSIONS)
         triples = int(np.count_nonzero(at[half:]))
-        return Whole(n @ self.scores[place] / length, triples / half, (len(place) + unknown) / half)
+        return Whole(n @ self.scores.take(place, axis=0) / length, triples / half, (len(place) + unknown) / half)
 
-    def strengths(self, grams: Grams, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def strengths(self, grams: Grams, bounds: np.ndarray, exact: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Of each piece of a text: its cosine with each prototype, its n-grams taken as distinct, times the root of its size; and its letters.
 
-        ``bounds`` are the letters before each piece and after the last one.
+        ``bounds`` are the letters before each piece and after the last one; sums are of type ``exact``.
         """
         half, n = len(grams.where), np.diff(bounds)
         scores = self.scores.take(grams.at[:half], axis=0)
@@ -113,27 +117,35 @@ class Model(NamedTuple):
         out, some = np.zeros((len(n), len(LANGUAGES))), np.flatnonzero(n)
         if len(some):
             m = n[some]
-            out[some] = np.add.reduceat(scores, bounds[:-1][some], axis=0, dtype=np.float64) * (np.sqrt(np.minimum(m, 400)) / np.sqrt(2.0 * m * DIMENSIONS))[:, None]
+            out[some] = np.add.reduceat(scores, bounds[:-1][some], axis=0, dtype=exact) * (np.sqrt(np.minimum(m, 400)) / np.sqrt(2.0 * m * DIMENSIONS))[:, None]
         return out, n
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _numbers(text: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Numbers of a text's letters with 0 for any run of others, framed by 0; the place of each; the text's size."""
-    codes = _codes(text)
-    if len(codes) != len(text):  # lower case of a few letters is longer
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    number = numbers[codes].astype(np.int64)
-    keep = np.ones(len(number), bool)
-    keep[1:] = (number[1:] > 0) | (number[:-1] > 0)
-    return np.concatenate(([0], number[keep], [0])), np.flatnonzero(keep), len(number)
+    lower = text.lower()
+    number = numbers.take(_codes(lower if len(lower) == len(text) else text))  # lower case of a few letters is longer
+    known = number > 0
+    keep = known.copy()
+    keep[:1] = True
+    keep[1:] |= known[:-1]
+    place = np.flatnonzero(keep)
+    framed = np.zeros(len(place) + 2, np.int64)
+    framed[1:-1] = number.take(place)
+    return framed, place, len(number)
 
 
 def _triples(number: np.ndarray) -> np.ndarray:
-    return (number[:-2] << 32) | (number[1:-1] << 16) | number[2:] | (1 << 50)
+    out = number[:-2] << 16
+    out |= number[1:-1]
+    out <<= 16
+    out |= number[2:]
+    out |= 1 << 50
+    return out
 
 
 def _keys(text: str, numbers: np.ndarray) -> np.ndarray:
@@ -144,7 +156,9 @@ def _keys(text: str, numbers: np.ndarray) -> np.ndarray:
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    out = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out >>= np.uint64(64 - SLOTS)
+    return out.view(np.int64)
 
 
 def _letter_vectors(letters: np.ndarray, seed: int) -> np.ndarray:
@@ -214,7 +228,10 @@ def fit(texts: list[tuple[str, str]], seed: int = 7, rounds: int = 3, grams_kept
         table[place[free[first]]] = free[first] + 1
         todo = todo[table[place[todo]] != todo + 1]
         place[todo] = (place[todo] + 1) & ((1 << SLOTS) - 1)
-    return Model(numbers, np.concatenate(([-1], keys)), table, np.concatenate((np.zeros((1, len(LANGUAGES)), np.float32), scores.astype(np.float32))))
+    single = np.zeros(len(letters) + 1, table.dtype)
+    alone = np.flatnonzero(keys >> 50 == 0)
+    single[keys[alone]] = alone + 1
+    return Model(numbers, np.concatenate(([-1], keys)), table, np.concatenate((np.zeros((1, len(LANGUAGES)), np.float32), scores.astype(np.float32))), single)
 
 
 def label_of(label: Column) -> Column:
@@ -255,13 +272,50 @@ def _machine(lines: list[str]) -> bool:
     return (letters < 0.72 * len(raw) or blanks < 0.08 * len(raw)) and structure._assign("plain", lines).kind == "junk"
 
 
+def _markup(text: str) -> list[tuple[int, int]]:
+    """Where commands, formulas, addresses and names before an equals sign are in a text."""
+    out, last = [], 0
+    for m in _COMMANDS.finditer(text):
+        a, b = m.span()
+        if text[a] == "=":
+            end = a
+            while a > last and (text[a - 1].isalnum() or text[a - 1] == "_"):
+                a -= 1
+            # no name, or only the rest of a word that has lost its beginning
+            if a == end or a and (text[a - 1].isalnum() or text[a - 1] == "_"):
+                continue
+        out.append((a, b))
+        last = b
+    return out
+
+
 def _without_markup(text: str) -> str:
-    return _COMMANDS.sub(" ", text) if "\\" in text or "$" in text or "=" in text else text
+    """Each piece of markup as one space."""
+    if "\\" not in text and "$" not in text and "=" not in text:
+        return text
+    at, parts = 0, []
+    for a, b in _markup(text):
+        parts.append(text[at:a])
+        at = b
+    parts.append(text[at:])
+    return " ".join(parts)
+
+
+def _blanked(text: str) -> str:
+    """Markup as spaces, so that all else keeps its place."""
+    at, parts = 0, []
+    for a, b in _markup(text):
+        piece = text[a:b]
+        parts += (text[at:a], _WITHIN_LINE.sub(" ", piece) if "\n" in piece or "\r" in piece else " " * (b - a))
+        at = b
+    parts.append(text[at:])
+    return "".join(parts)
 
 
 def _sound(text: str) -> str:
-    """The prose runs of a text, without junk."""
-    return "\n".join("\n".join(lines) for shape, lines in structure._runs(text) if shape == "plain" and structure._assign(shape, lines).kind in ("prose", "heading"))
+    """The prose runs of a text, without junk; the text itself if it has nothing else than those and blank lines."""
+    runs = [(lines, shape == "plain" and structure._assign(shape, lines).kind in ("prose", "heading")) for shape, lines in structure._runs(text)]
+    return text if all(good for _, good in runs) else "\n".join("\n".join(lines) for lines, good in runs if good)
 
 
 LEAST = 0.15  # cosine below which a text is in no known language
@@ -282,10 +336,11 @@ def main_language(text: str, model: Model, grams: Grams | None = None) -> tuple[
         return None, 0.0
     whole = model.whole(grams or model.grams(text))
     if whole.known < 0.75 or whole.varied < 0.1 and len(text) > 300:
-        text = _sound(text)
-        if not text or text.isspace():
+        sound = _sound(text)
+        if not sound or sound.isspace():
             return None, 0.0
-        whole = model.whole(model.grams(text))
+        if sound is not text:
+            whole = model.whole(model.grams(sound))
     if whole.cosines.max() < LEAST:
         return None, 0.0
     return LANGUAGES[int(whole.cosines.argmax())], _sure(whole.cosines, 25.0)
@@ -309,8 +364,12 @@ def mixed(text: str, model: Model, main: str, grams: Grams) -> bool:
         bounds.append(half)
     if len(bounds) < 3:
         return False
-    parts, _ = model.strengths(grams, np.array(bounds))
-    return bool((parts.max(axis=1) - parts[:, LANGUAGES.index(main)]).max() > 0.7)
+    for exact in (np.float32, np.float64):
+        parts, letters = model.strengths(grams, np.array(bounds), exact)
+        over = float((parts.max(axis=1) - parts[:, LANGUAGES.index(main)]).max()) - 0.7
+        if abs(over) > 4e-6 * float(letters.max()) ** 1.5:  # more than what short sums may be off by
+            break
+    return over > 0
 
 
 def _other_lines(text: str, article: bool = False) -> list[tuple[int, int]]:
@@ -354,15 +413,15 @@ def stretches(text: str, model: Model, other: list[tuple[int, int]] | None = Non
     sizes = np.where(mute, 0, letters).tolist()
     if not any(sizes):
         return []
-    total, back = scores[0].copy(), []
-    for row in scores[1:]:
-        best = int(total.argmax())
-        stay = total >= total[best] - CHANGE
-        back.append(np.where(stay, np.arange(len(LANGUAGES)), best))
-        total = np.where(stay, total, total[best] - CHANGE) + row
-    path = [int(total.argmax())]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
+    total, *rows = scores.tolist()
+    back = []  # each sentence's totals, and the least that stays in its language
+    for row in rows:
+        least = max(total) - CHANGE
+        back.append((total, least))
+        total = [(x if x >= least else least) + y for x, y in zip(total, row, strict=True)]
+    path = [total.index(max(total))]
+    for total, least in reversed(back):
+        path.append(path[-1] if total[path[-1]] >= least else total.index(max(total)))
     path.reverse()
     out: list[tuple[int, int, str, float, int]] = []
     second, most = np.partition(scores, -2, axis=1)[:, -2:].T
@@ -389,7 +448,7 @@ def article_stretches(text: str, model: Model) -> list[tuple[int, int, str, floa
     """``stretches`` of what an article shows: preamble, comments and markup have no say.  Offsets are those of the whole text."""
     at = list(range(len(text)))
     shown = structure._shown(text, True, at)
-    plain = _COMMANDS.sub(lambda m: _WITHIN_LINE.sub(" ", m[0]), shown)
+    plain = _blanked(shown)
     found, inside, whole = stretches(plain, model, _other_lines(shown, True)), _places(plain), _places(text)
     spans = np.searchsorted(inside, [x[:2] for x in found]).tolist()
     return [(int(whole[at[a]]), int(whole[at[b - 1] + 1]), *rest) for (a, b), (_, _, *rest) in zip(spans, found, strict=True)]
@@ -453,6 +512,8 @@ def garbled(text: str, odd: encoding_repair.PairModel) -> bool:
         return False
     if "\ufffd" in text:
         return True
+    if not encoding_repair.may_be_suspect(text):
+        return False
     return any(x[1] > -encoding_repair.PRIOR for _, line in encoding_repair._parts(text) for x in encoding_repair.mend(line, odd)[:1])
 
 

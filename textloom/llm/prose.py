@@ -23,9 +23,10 @@ UNSPACED = ("zh", "ja", "th")
 
 _BODY = re.compile(r"\\begin\{document\}")
 _END = re.compile(r"\\end\{document\}")
-_COMMENT = re.compile(r"(?<!\\)%[^\r\n]*")
+_COMMENT = re.compile(r"%(?<!\\%)[^\r\n]*")  # begins with its rare character, so that a search skips all others
 _COMMENT_BLOCK = re.compile(r"\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)|\\iffalse\b.*?(?:\\fi\b|\Z)", re.DOTALL)
-_PREAMBLE_LINE = re.compile(r"(?m)^[ \t]*\\(?:documentclass|usepackage|newcommand|renewcommand|providecommand|def|let|input|include|title|author|date|maketitle|bibliographystyle|bibliography|newtheorem|setlength)\b[^\r\n]*")
+_PREAMBLE = re.compile(r"\\(?:documentclass|usepackage|newcommand|renewcommand|providecommand|def|let|input|include|title|author|date|maketitle|bibliographystyle|bibliography|newtheorem|setlength)\b")
+_PREAMBLE_LINE = re.compile(r"(?m)^[ \t]*" + _PREAMBLE.pattern + r"[^\r\n]*")
 
 
 def less(pattern: re.Pattern, text: str, at: list[int] | None = None) -> str:
@@ -58,4 +59,4 @@ def body(text: str, at: list[int] | None = None) -> str:
         text = less(_COMMENT, text, at)
     if "comment}" in text or "\\iffalse" in text:
         text = less(_COMMENT_BLOCK, text, at)
-    return less(_PREAMBLE_LINE, text, at)
+    return less(_PREAMBLE_LINE, text, at) if _PREAMBLE.search(text) else text

@@ -154,9 +154,10 @@ def _thai(text: str, start: int, end: int) -> float | None:
 
 def _candidates(text: str) -> list[tuple[int, float, tuple[int, int] | None, bool]]:
     """Places where a sentence may start after another: (place, score, pair closed just before, with its stop inside; whether it is within a pair)."""
-    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    upper = sum(map(str.isupper, text))
     cased = upper > 0
-    shouted = upper > 4 * lower and upper > 0.8 * sum(map(str.isalpha, text))
+    # most texts have small letters enough at their beginning
+    shouted = cased and all(upper > 4 * sum(map(str.islower, part)) for part in (text[: upper + 64], text)) and upper > 0.8 * sum(map(str.isalpha, text))
     pairs = _enclosed(text) if _MARK.search(text) else []
     starts = [a for a, _ in pairs]
     furthest = list(accumulate((b for _, b in pairs), max))  # of all pairs that begin so early, the last end

@@ -16,8 +16,10 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,12 +69,13 @@ FEW_WORDS = 12
 _LINE_END = re.compile(r"\r\n?")
 _LEADERS = re.compile(r"(?:\.\s?){4,}|…{2,}")
 _TOKENS = re.compile(r"[^\W_]+(?:[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]+[^\W_]*)*")
+_JOINED = re.compile(r"[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]")
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0610-\u061a\u064b-\u065f]+[^\W\d_]*)*")
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
 _STOPS = ".!?。！？…।؟．"
 _STOP = re.compile(r"[.!?。！？…।؟．][\"'”’»」』）)\]]*\s*$")
 _SENTENCE = re.compile(r"[.!?。！？…।؟．]+(?=\s|$|[^\x00-\x7f])")
-_ENDS = re.compile(r"(?<=[\w)\]}”»’\"'])[.!?。！？…।؟．]+(?=\s|$|[^\x00-\x7f])")
+_ENDS = re.compile(r"[.!?。！？…।؟．](?<=[\w)\]}”»’\"'].)[.!?。！？…।؟．]*(?=\s|$|[^\x00-\x7f])")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _MARKED = re.compile(
     r"\s*(?:\\(?:bib)?item\b|@\w+\{|[^\w\s\"'“«„(¿¡$\\<{#%!?.,;:)\]}|]\s+\S|o\s+\S|\[[ xX✓]\]\s|\[\d{1,3}\]\s|\(?\d{1,3}[.)]\s+\S|\(?[a-zA-Z]\)\s+\S|\(?[ivx]{1,4}[.)]\s+\S"
@@ -85,7 +88,6 @@ _DIGITS = re.compile("[0-9０-９]")
 _SPACE = re.compile(r"\s+")
 _SYMBOL = re.compile(r"[!-%'-*:-@\[-^`{}~]")
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff]")
-_DELIMITER = re.compile(r"[|¦\t&;]")
 #: Three and more separators in a row without a space after them.
 _FIELDS = re.compile(r"^[^\s,;]*[,;][^\s,;]*[,;]\S*$|[^\s;]*;[^\s;]*;[^\s;]*;|[^\s,]*,(?=\S)[^\s,]*,[^\s,]*,|(?:[^;\n]{0,24};(?! )){3}")
 _WIDE_GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
@@ -156,7 +158,7 @@ def _function_words(text: str, words: list[str], unspaced: bool) -> tuple[str, f
             if counts:
                 found[language] = counts
     else:
-        for w, k in Counter(w for w in words if w in _LANGUAGES_OF).items():
+        for w, k in Counter(filter(_LANGUAGES_OF.__contains__, words)).items():
             for language in _LANGUAGES_OF[w]:
                 found.setdefault(language, Counter())[w] = k
     if not found:
@@ -186,19 +188,21 @@ def _line(line: str, environment: str) -> str:
             return "columns"
         return "neutral" if _NEUTRAL.match(line) else "marked"
     bare = line.strip()
-    tight = bare.count(",") - bare.count(", ")
-    if bare[-1] in _STOPS and bare[:2].isalpha() and tight < 2 and not _DELIMITER.search(bare):
+    tight = bare.count(",") - bare.count(", ") if "," in bare else 0
+    worded, delimited = bare[:2].isalpha(), "|" in bare or ";" in bare or "&" in bare or "\t" in bare or "¦" in bare
+    if worded and bare[-1] in _STOPS and tight < 2 and not delimited:
         return "plain"
     if bare[0] == "\\" and _NEUTRAL.match(bare):
         return "neutral"
-    if _RULE.match(bare):
+    # a rule begins with no letter, a marked line with one letter or a small Roman number at most
+    if not worded and _RULE.match(bare):
         return "columns"
-    if (tight > 1 or _DELIMITER.search(bare)) and (
+    if (tight > 1 or delimited) and (
         bare[0] in "|¦" or bare.count(" | ") + bare.count(" ¦ ") > (1 if len(bare) > 60 else 0) or bare.count("\t") > 1 or bare.count(" & ") > 1
         or (tight > 1 or bare.count(";") > 1) and _FIELDS.search(bare)
     ) and _symbols(bare) < 0.4:
         return "columns"
-    if _MARKED.match(line) or (".." in bare or ". ." in bare) and _LEADER.search(bare[-60:]) or _listed(bare):
+    if (not worded or bare[0] in "ivx") and _MARKED.match(line) or (".." in bare or ". ." in bare) and _LEADER.search(bare[-60:]) or _listed(bare):
         return "marked"
     if "   " in bare and len(_WIDE_GAP.findall(bare)) > 1:
         return "columns"
@@ -284,6 +288,33 @@ _ASCII_WORDS = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(25
 _ASCII_LETTERS, _ASCII_DIGITS, _ASCII_MARKS, _ASCII_SPACES = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:!?'\"", b" \n"
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What the characters of the first plane are: letters and digits (1), marks within words (2), sentence marks (4), digits (8)."""
+    chars = list(map(chr, range(1 << 16)))
+    out = np.array([c.isalnum() for c in chars], np.uint8)
+    for value, pattern in ((2, _JOINED), (4, _PUNCTUATION), (8, _DIGITS)):
+        out[[m.start() for m in pattern.finditer("".join(chars))]] |= value
+    return out
+
+
+def _counted_at_once(text: str, unspaced: bool) -> tuple[list[str], int, int, int, int] | None:
+    """``_counted`` of a longer text by a table of characters; null where it has marks within words or characters beyond the first plane."""
+    lower = text.lower()
+    codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) != len(text) or codes.max() > 0xFFFF:
+        return None
+    classes = _classes().take(codes)
+    of_class = np.bincount(classes, minlength=16)
+    if of_class[2] and not unspaced:
+        return None
+    marks, digits, spaces = int(of_class[4]), int(of_class[9]), text.count(" ") + text.count("\n")
+    if unspaced:
+        return [], len(text) - marks - digits - spaces, digits, spaces, marks
+    words = np.where(classes & 1, codes, np.uint32(32)).tobytes().decode("utf-32-le").split()
+    return words, int(of_class[1] + of_class[3]), digits, spaces, marks
+
+
 def _counted(text: str, unspaced: bool) -> tuple[list[str], int, int, int, int]:
     """(words, letters, digits, blanks, marks) of a text; no words where they aren't spaced.  Letters beside digits are no word of their own."""
     if text.isascii():
@@ -291,6 +322,8 @@ def _counted(text: str, unspaced: bool) -> tuple[list[str], int, int, int, int]:
         n = len(raw)
         without = lambda chars: n - len(raw.translate(None, chars))
         return raw.lower().translate(_ASCII_WORDS).decode("ascii").split(), without(_ASCII_LETTERS), without(_ASCII_DIGITS), without(_ASCII_SPACES), without(_ASCII_MARKS)
+    if len(text) > 300 and (found := _counted_at_once(text, unspaced)):
+        return found
     words = [] if unspaced else _TOKENS.findall(text.lower())
     marks, digits, spaces = len(_PUNCTUATION.findall(text)), len(_DIGITS.findall(text)), text.count(" ") + text.count("\n")
     return words, len(text) - marks - digits - spaces if unspaced else sum(map(len, words)) - digits, digits, spaces, marks
@@ -350,12 +383,16 @@ def _repeated(text: str) -> float:
     tokens = text.split()
     n = len(text)
     if len(tokens) >= 24 and n < 40 * len(tokens):
-        rate = len(set(zip(tokens, tokens[1:], tokens[2:], tokens[3:], tokens[4:]))) / (len(tokens) - 4)
+        total, runs = len(tokens) - 4, zip(tokens, tokens[1:], tokens[2:], tokens[3:], tokens[4:])
     elif n >= 40:
-        rate = len({text[i : i + 8] for i in range(n - 7)}) / (n - 7)
+        total, runs = n - 7, (text[i : i + 8] for i in range(n - 7))
     else:
         return 0.0
-    return max(0.0, min(1.0, (0.30 - rate) / 0.15))
+    distinct = set(islice(runs, total * 2 // 5))
+    if len(distinct) / total >= 0.30:
+        return 0.0  # whatever the others are
+    distinct.update(runs)
+    return max(0.0, min(1.0, (0.30 - len(distinct) / total) / 0.15))
 
 
 def kind_of(text: str | None, article: bool = False) -> str | None:
